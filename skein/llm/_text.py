@@ -157,29 +157,25 @@ def sliced(f: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text")
     return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables with whole runs of equal keys, of batches that are sorted by key; many runs in each."""
+def runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 2_000) -> Iterator[pa.Table]:
+    """Tables of about ``least`` rows with whole runs of equal keys, of batches that are sorted by key. A longer run comes alone."""
     held: list[pa.RecordBatch] = []
-    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least:
-            continue
         column = batch.column(batch.schema.get_field_index(key))
-        last = column[-1]
-        other = pc.fill_null(pc.not_equal(column, last), True).to_numpy(zero_copy_only=False)
-        if other.any():
-            cut = int(np.flatnonzero(other)[-1]) + 1
-        elif len(held) > 1 and held[-2].column(batch.schema.get_field_index(key))[-1] != last:
-            cut = 0
-        else:
-            continue
-        held[-1] = batch.slice(0, cut)
-        yield pa.Table.from_batches(held)
-        held, rows = [batch.slice(cut)], batch.num_rows - cut
+        values = column.to_numpy(zero_copy_only=False)
+        cuts = bounds(values)[:-1]
+        if held and held[-1].column(batch.schema.get_field_index(key))[-1] == column[0]:
+            cuts = cuts[1:]
+        at, rows = 0, sum(h.num_rows for h in held)
+        for c in cuts.tolist():
+            if rows + c - at >= least:
+                if c > at:
+                    held.append(batch.slice(at, c - at))
+                yield pa.Table.from_batches(held)
+                held, at, rows = [], c, 0
+        held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)
 

@@ -187,7 +187,7 @@ def joined(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def _verified(n: int, threshold: float):
     def run(batches):
         # rows: root, doc_id, text, sorted by root
-        for t in runs(batches, "root", least=2000):
+        for t in runs(batches, "root"):
             batch = t.combine_chunks().to_batches()[0]
             roots = batch.column(0).to_numpy()
             ids = batch.column(1).to_numpy()
