@@ -207,7 +207,7 @@ ROWS = "shard long, visitor boolean, vec_id long, embedding array<double>, floor
 def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     """The k other vectors with the greatest inner products for every vector: (query_id, neighbor_id, score, rank).
 
-    Exact: scores are computed in double precision and rounded to PLACES; equal ones are ranked by neighbor_id. score has 6 places.
+    Exact: scores are computed in double precision and rounded to PLACES; equal ones are ranked by neighbor_id.
 
     Vectors go to the nearest of some pivots, and large groups are split, so that a shard has about ``shard`` vectors. Each shard
     builds a ball tree and answers for its own vectors; the k-th score found there is taken along to those shards
@@ -249,12 +249,12 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     other = homes.union(visits).repartition("shard").sortWithinPartitions("shard", "visitor", "vec_id").mapInArrow(_searched(d, k, False), answer)
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("neighbor_id").alias("i")))), 1, k)
     out = own.union(other).groupBy("query_id").agg(top.alias("t")).select("query_id", F.posexplode("t").alias("p", "x"))
-    return out.select("query_id", F.col("x.i").alias("neighbor_id"), F.round(-F.col("x.s"), 6).alias("score"), (F.col("p") + 1).cast("int").alias("rank"))
+    return out.select("query_id", F.col("x.i").alias("neighbor_id"), (-F.col("x.s")).alias("score"), (F.col("p") + 1).cast("int").alias("rank"))
 
 
 ORACLE = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_inner_product(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM s)
-SELECT query_id, neighbor_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10
+SELECT query_id, neighbor_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10
 """
