@@ -10,10 +10,10 @@ from ..sources.ingest import MAX_DOCS, lines
 
 #: How long a batch may wait, and how much one takes, by default.
 INTERVAL = "60 seconds"
-MAX_BYTES = "128m"
+MAX_BYTES = 128 << 20
 
 
-def stream_ndjson(index: Index, path: str, checkpoint: str, interval: str | None = INTERVAL, max_files: int | None = None, max_bytes: str | None = MAX_BYTES, max_docs: int = MAX_DOCS, name: str = "stream") -> StreamingQuery:
+def stream_ndjson(index: Index, path: str, checkpoint: str, interval: str | None = INTERVAL, max_files: int | None = None, max_bytes: int | None = MAX_BYTES, max_docs: int = MAX_DOCS, name: str = "stream") -> StreamingQuery:
     """Ingests a folder's JSON line files as they appear. interval None: what is there now, then stop.
 
     The stream's offset log takes the place of a write-ahead log. A batch is named after the stream and
