@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once. Larger documents are handled alone, whole.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xC2B2AE3D27D4EB4F
@@ -127,6 +128,19 @@ def words(column: pa.Array, lower: bool = True, hashed: bool = True) -> Words:
     return Words(buf, start, end, first, h)
 
 
+def words_sliced(column: pa.Array, most: int = SLICE) -> Words:
+    """``words`` of a column of any size: what is needed on the way is made for about ``most`` bytes at a time."""
+    batch = pa.RecordBatch.from_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column], ["text"])
+    parts = [words(p.column(0)) for p in slices(batch, most=most)]
+    if len(parts) < 2:
+        return parts[0] if parts else words(column)
+    byte = np.cumsum([0, *(len(p.buf) for p in parts)])
+    word = np.cumsum([0, *(len(p.hash) for p in parts)])
+    join = lambda name, shift: np.concatenate([getattr(p, name) + b for p, b in zip(parts, shift)])
+    first = np.concatenate([*(p.first[:-1] + b for p, b in zip(parts, word)), word[-1:]])
+    return Words(np.concatenate([p.buf for p in parts]), join("start", byte), join("end", byte), first, np.concatenate([p.hash for p in parts]))
+
+
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every n-gram of words; a document of 1 to n-1 words has one, all of it."""
     size = np.diff(w.first)
@@ -206,5 +220,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs but those whose doc_id is in the one column of gone. Columns stay, whatever their names."""
+    name = fresh(docs, "__gone")
+    return docs.join(gone.toDF(name).distinct(), docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import BASE2, Rolling, Words, bounds, mix, ranges, runs, sliced, words
+from ._text import BASE2, Rolling, Words, bounds, mix, ranges, runs, sliced, words, words_sliced
 
 #: Fewest words of a repeated passage: "over 50".
 MIN_WORDS = 51
@@ -216,7 +216,7 @@ def _sorted(length: int):
             c = {n: t.column(n).combine_chunks() for n in t.column_names}
             h, doc = c["h"].to_numpy(), c["doc_id"].to_numpy()
             at, lo, hi = (c[x].to_numpy().astype(np.int64) for x in ("at", "lo", "hi"))
-            w = words(c["ctx"])
+            w = words_sliced(c["ctx"])
             row, start, low = repeated_windows(h, doc, at, lo, hi, w, length)
             if not len(row):
                 continue
