@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, ranges, sliced, words
+from ._text import Words, ranges, sliced, without, words
 
 #: Words of a passage that must be found in a row. Shorter benchmark texts are searched for whole.
 PASSAGE = 13
@@ -172,8 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that quote no benchmark item. Columns stay."""
-    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, **options).select("doc_id"))
 
 
 ORACLE = r"""

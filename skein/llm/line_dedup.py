@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import bounds, runs, slices, words
+from ._text import bounds, fresh, runs, slices, words
 
 #: Documents that a template must recur in.
 MIN_DOCS = 10
@@ -122,14 +122,15 @@ def without_recurring_lines(docs: DataFrame, count: str | None = None, **options
     dropped from all of them but the one with the least doc_id.
 
     Blank lines stay. A NULL text stays NULL, and rows with a NULL doc_id stay as they are; a text whose lines all go becomes
-    empty. Rows that repeat a doc_id count as one document. With ``count``, a column of that name has the number of lines dropped.
+    empty. Rows that repeat a doc_id count as one document. With ``count``, a column of that name has the number of lines dropped, in place of one of
+    the name that docs may have.
     """
-    drop = recurring_lines(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("lh").alias("__drop"))
-    full = docs.join(drop, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    key, gone = fresh(docs, "__id"), fresh(docs, "__drop")
+    drop = recurring_lines(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("lh").alias(gone))
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("__drop"), F.xxhash64(_trimmed(x))))
-    out = [F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    kept = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col(gone), F.xxhash64(_trimmed(x))))
+    out = {"text": F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n"))}
     if count:
-        out.append(F.when(F.col("__drop").isNull() | text.isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias(count))
-    return full.select(*out)
+        out[count] = F.when(F.col(gone).isNull() | text.isNull(), 0).otherwise(F.size(lines) - F.size(kept))
+    return docs.join(drop, docs["doc_id"].cast("long") == F.col(key), "left").withColumns(out).drop(key, gone)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import BASE, BASE2, Rolling, bounds, cut, mix, ngrams, runs, slices, sliced, words
+from ._text import BASE, BASE2, Rolling, bounds, cut, mix, ngrams, raw, runs, slices, sliced, without, words
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -104,13 +104,7 @@ def _signatures(k: int, n: int):
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
-    return np.frombuffer(raw_bytes(column), np.uint16).reshape(len(column), k)
-
-
-def raw_bytes(column: pa.Array) -> bytes:
-    from ._text import raw
-
-    return raw(column)[0].tobytes()
+    return np.frombuffer(raw(column)[0].tobytes(), np.uint16).reshape(len(column), k)
 
 
 def _banded(bands: int, rows: int):
@@ -231,7 +225,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     similarity; (7) the exact copies come back. There is no cap on a bucket, a component or its partners.
 
     NULL, empty and blank texts belong to no group, nor do rows with a NULL doc_id. A text of fewer words
-    than a shingle has one shingle, all its words. Rows that repeat a doc_id count as one document. The
+    than a shingle has one shingle, all its words. Rows that repeat a doc_id with the same words count as one
+    document; with other words, doc_id has a row for each group that one of its texts is in. The
     result is the same for any order of rows. Other columns are not looked at.
     """
     k = bands * rows
@@ -258,5 +253,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs but those of a near-duplicate group's documents other than its least doc_id. Columns stay."""
-    gone = near_duplicates(docs, **options).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return without(docs, near_duplicates(docs, **options).where("doc_id <> group_id").select("doc_id"))
