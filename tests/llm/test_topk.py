@@ -1,0 +1,48 @@
+import numpy as np
+import pytest
+
+from skein.llm import topk as K
+
+from .conftest import got
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, floor string, shard string")
+
+
+def brute(ids, v, k):
+    s = np.round(v.astype(np.float32).astype(np.float64) @ v.astype(np.float32).astype(np.float64).T, K.PLACES)
+    out = []
+    for i, a in enumerate(ids):
+        order = sorted((-s[i, j], b) for j, b in enumerate(ids) if j != i)[:k]
+        out += [(a, b, -x, r + 1) for r, (x, b) in enumerate(order)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("shard", [8192, 50])
+def test_equals_brute_force(spark, shard):
+    rng = np.random.default_rng(shard)
+    centres = rng.normal(size=(8, 12)) * 2
+    v = np.concatenate([c + rng.normal(size=(60, 12)) for c in centres]).round(2)
+    v[100:110] = v[100]  # ties
+    rows = [(i * 3, [float(x) for x in e], "x", "y", "z") for i, e in enumerate(v)]
+    have = got(K.top_k(frame(spark, rows), k=7, shard=shard))
+    assert have == brute([r[0] for r in rows], v, 7)
+
+
+def test_search_prunes():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(500, 4)) * 0.1 + c * 5 for c in rng.normal(size=(20, 4))])
+    tree = K.build(v, np.arange(len(v)))
+    best = K.Best.none(50, 5)
+    done = K.search(tree, v[:50], np.arange(50), best, np.full(50, -np.inf))
+    assert done < 0.5 * 50 * len(v)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (2, [0.0, 1.0]), (8, [0.0, 0.0]), (9, [1.0, None])]
+    have = got(K.top_k(frame(spark, [(i, v, "a", "b", "c") for i, v in rows]), k=5))
+    assert have == [(1, 2, 0.0, 1), (1, 8, 0.0, 2), (2, 1, 0.0, 1), (2, 8, 0.0, 2), (8, 1, 0.0, 1), (8, 2, 0.0, 2)]
+    assert got(K.top_k(frame(spark, []))) == []
+    assert got(K.top_k(frame(spark, [(1, [1.0], "a", "b", "c")]))) == []
