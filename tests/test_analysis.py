@@ -1,0 +1,42 @@
+import pytest
+from pyspark.sql import functions as F
+
+from skein.functions import analysis as A
+
+TEXTS = ["Hello, World_x 42", "Ünïcode Straße ÉTÉ ñandú", "áb", "İstanbul", "１２ ٣٤", "", "---", "Zählpunkt: Gerät/Ungültiges"]
+
+
+def test_tokens_equal_the_drivers(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    assert [r[0] for r in df.select(A.tokens(F.col("t"))).collect()] == [A.analyse(t) for t in TEXTS]
+    assert A.analyse(TEXTS[0]) == ["hello", "world", "x", "42"] and A.analyse(TEXTS[1]) == ["unicode", "straße", "ete", "nandu"]
+    assert A.analyse("áb") == ["a", "b"]
+    assert spark.range(1).select(A.tokens(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_offsets_are_bytes(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for text, (out,) in zip(TEXTS, df.select(A.token_offsets(F.col("t"))).collect()):
+        assert [r.term for r in out] == A.analyse(text) and [r.position for r in out] == list(range(len(out)))
+        for r in out:
+            assert A.analyse(text.encode()[r.start : r.end].decode()) == [r.term]
+
+
+def test_long_texts_have_all_offsets(spark):
+    out = spark.createDataFrame([("é word " * 3000,)], "t string").select(A.token_offsets(F.col("t"))).first()[0]
+    assert len(out) == 6000 and (out[-1].position, out[-1].start, out[-1].end) == (5999, 2999 * 8 + 3, 2999 * 8 + 7)
+
+
+@pytest.mark.parametrize(("line", "want"), [('{"f": "abc"}', "abc"), ('{"f": ""}', ""), ('{"f": "12"}', "12"), ('{"f": 12}', None), ('{"f": [1]}', None), ('{"f": {"f": "x"}}', None), ('{"f": null}', None), ('{"f": true}', None), ("{}", None), ("[]", None), ('"f"', None), ("nonsense", None), ('{"a.b": "x"}', None)])
+def test_only_strings_are_text(spark, line, want):
+    assert spark.createDataFrame([(line,)], "s string").select(A.json_string(F.col("s"), "f")).first()[0] == want
+
+
+def test_names_are_flat_keys(spark):
+    df = spark.createDataFrame([('{"a.b": "x", "a": {"b": "y"}}',)], "s string")
+    assert df.select(A.json_string(F.col("s"), "a.b"), A.json_long(F.lit('{"n": 5}'), "n"), A.json_long(F.lit('{"n": "5"}'), "n")).first()[:] == ("x", 5, None)
+
+
+def test_valid_json(spark):
+    lines = ["{}", "[1]", "3", '"x"', "{", "", "{'a': 1}"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in lines], "s string").select(A.is_json(F.col("s"))).collect()] == [True] * 4 + [False] * 3
