@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A token is a longest run of letters and decimal digits; combining marks and underscores separate.
 WORD = r"([\p{L}\p{Nd}]+)"
+#: Words whose offsets are summed together.
+BLOCK = 128
 
 
 @functools.cache
@@ -51,21 +54,39 @@ def keyword(value: Column) -> Column:
     return F.lower(value)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_offsets(text: Column) -> Column:
-    """Array of (term, position, start, end): start and end are byte offsets in UTF-8."""
-    pieces = F.regexp_extract_all(text, F.lit(r"([^\p{L}\p{Nd}]*)([\p{L}\p{Nd}]+)"), F.lit(1))
-    size = lambda c: F.octet_length(c)
-    both = F.zip_with(pieces, words(text), lambda gap, w: F.struct(size(gap).alias("gap"), size(w).alias("len"), w.alias("word")))
-    start = F.lit(0)
-    made = F.aggregate(
-        both,
-        F.struct(start.alias("at"), F.array().cast("array<struct<term:string,position:int,start:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(fold(F.lower(x["word"])).alias("term"), F.size(acc["out"]).alias("position"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))).alias("out"),
-        ),
-    )
-    return made["out"]
+    """Array of (term, position, start, end): start and end are byte offsets in UTF-8.
+
+    Sums run through blocks of words, whose results are joined at the end, so long texts take no
+    longer for each word than short ones.
+    """
+    gaps = F.regexp_extract_all(text, F.lit(r"([^\p{L}\p{Nd}]*)([\p{L}\p{Nd}]+)"), F.lit(1))
+    both = F.zip_with(gaps, words(text), lambda gap, w: F.struct(F.octet_length(gap).alias("gap"), F.octet_length(w).alias("len"), w.alias("word")))
+    kind = "array<struct<term:string,position:int,start:int,end:int>>"
+
+    def one(first: Column):
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            token = F.struct(fold(F.lower(x["word"])).alias("term"), (first + F.size(acc["out"])).alias("position"), start.alias("start"), (start + x["len"]).alias("end"))
+            return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], F.array(token)).alias("out"))
+
+        return add
+
+    def blocks(all_: Column) -> Column:
+        def block(acc: Column, i: Column) -> Column:
+            made = F.aggregate(F.slice(all_, i * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), one(i * BLOCK))
+            return _let(made, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")))
+
+        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.when(F.size(all_) > 0, F.flatten(F.aggregate(F.sequence(F.lit(0), last), start, block)["out"])).when(all_.isNotNull(), F.array().cast(kind))
+
+    return _let(both, blocks)
 
 
 def analyse(text: str) -> list[str]:
