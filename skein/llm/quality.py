@@ -18,7 +18,9 @@ MAX_TRAIN_ROWS = 1000
 MIN_TRAIN_ROWS = 10
 THRESHOLD = 0.5
 
-WIDTH = 6
+WIDTH = 8
+#: Lengths of the byte grams that filters may begin with, 7 at most.
+GRAMS = (5, 7)
 DIM = 8
 FILTERS = 48
 HIDDEN = 16
@@ -107,34 +109,48 @@ def bad_logits(net: Net, body: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _telling_grams(texts: list[bytes], bad: np.ndarray, most: int, width: int = 5) -> list[bytes]:
-    """Byte grams to begin filters with: each next one covers the most bad texts that none has, with few good ones."""
-    grams = []
-    for t in texts:
-        a = np.frombuffer(t, np.uint8).astype(np.int64)
-        g = a[: len(a) - width + 1].copy() if len(a) >= width else a[:0]
-        for j in range(1, width if len(a) >= width else 0):
+def _grams(text: bytes, widths: tuple[int, ...]) -> np.ndarray:
+    """Distinct byte grams of a text as numbers, sorted, each with its width in the lowest bits."""
+    a = np.frombuffer(text, np.uint8).astype(np.int64)
+    own = []
+    for width in widths:
+        g = a[: max(0, len(a) - width + 1)].copy()
+        for j in range(1, width if len(g) else 0):
             g = g << 8 | a[j : len(a) - width + 1 + j]
-        grams.append(np.unique(g))
-    ids, inv = np.unique(np.concatenate(grams), return_inverse=True)
-    doc = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-    good = np.bincount(inv[~bad[doc]], minlength=len(ids))
-    rate = max(1, (~bad).sum())
-    usable = good <= 0.004 * rate
-    times = np.zeros(len(texts))
+        own.append(np.unique(g) << 3 | width)
+    return np.sort(np.concatenate(own))
+
+
+def _telling_grams(texts: list[bytes], bad: np.ndarray, most: int, widths: tuple[int, ...] = GRAMS) -> list[bytes]:
+    """Byte grams to begin filters with: each next one covers the most bad texts that none has, with few good ones."""
+    held = [_grams(t, widths) for t, b in zip(texts, bad) if b]
+    ids, count = np.unique(np.concatenate(held), return_counts=True)
+    ids = ids[count > 1]  # others can't be chosen
+    if not len(ids):
+        return []
+
+    def known(g: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(ids, g), len(ids) - 1)
+        return at[ids[at] == g].astype(np.int32)
+
+    held = [known(g) for g in held]
+    inv, doc = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(g) for g in held])
+    good = np.zeros(len(ids), np.int64)
+    for t, b in zip(texts, bad):
+        if not b:
+            good[known(_grams(t, widths))] += 1
+    usable = good <= 0.004 * max(1, (~bad).sum())
+    times = np.zeros(len(held))
     out = []
     while len(out) < most:
-        weight = np.where(bad, 0.25**times, 0)
-        score = np.bincount(inv, weights=weight[doc], minlength=len(ids)) - 2.0 * good
+        score = np.bincount(inv, weights=(0.25**times)[doc], minlength=len(ids)) - 2.0 * good
         score[~usable] = -1
         g = int(score.argmax())
         if score[g] <= 1:
             break
-        out.append(int(ids[g]).to_bytes(width, "big"))
+        out.append((int(ids[g]) >> 3).to_bytes(int(ids[g]) & 7, "big"))
         usable[g] = False
-        hit = doc[inv == g]
-        times[hit] += 1
-
+        times[doc[inv == g]] += 1
     return out
 
 
