@@ -254,3 +254,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs but those of a near-duplicate group's documents other than its least doc_id. Columns stay."""
     return without(docs, near_duplicates(docs, **options).where("doc_id <> group_id").select("doc_id"))
+
+
+#: All pairs are compared, so candidates that the bands miss would show as differences.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+same AS (SELECT min(doc_id) AS rep, array_to_string(w, ' ') AS body FROM t WHERE len(w) > 0 GROUP BY body),
+r AS (SELECT rep, string_split(body, ' ') AS w FROM same),
+g AS (SELECT DISTINCT rep, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM r)),
+n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+pair AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+edge AS (SELECT a, b FROM pair JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE k >= 0.5 * (x.n + y.n - k)),
+sym AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
+reach AS (SELECT a AS node, a AS root FROM sym UNION SELECT sym.b, reach.root FROM reach JOIN sym ON sym.a = reach.node),
+grp AS (SELECT node, min(root) AS grp FROM reach GROUP BY node),
+d AS (SELECT DISTINCT t.doc_id, coalesce(grp, rep) AS group_id FROM t JOIN same ON body = array_to_string(w, ' ') AND len(w) > 0 LEFT JOIN grp ON node = rep)
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM d QUALIFY n > 1
+"""

@@ -61,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_rules.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op8_top_k": topk.ORACLE}
+    return {"op2_suffix_dedup": suffix_dedup.ORACLE, "op5_url_filter": url_rules.ORACLE, "op6_near_duplicates": near_dup.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op8_top_k": topk.ORACLE}

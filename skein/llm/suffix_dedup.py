@@ -262,3 +262,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
     spans = spans.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     spans = spans.withColumn("no", F.sum(F.col("new").cast("int")).over(o.rowsBetween(Window.unboundedPreceding, 0)))
     return spans.groupBy("doc_id", "no").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("low").alias("first_doc")).drop("no")
+
+
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+win AS (SELECT doc_id, i AS s, array_to_string(w[i + 1 : i + 51], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 50)) AS i FROM t WHERE len(w) >= 51)),
+shared AS (SELECT g, min(doc_id) AS low FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, s, low FROM win JOIN shared USING (g)),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 51 THEN 0 ELSE 1 END AS new FROM hit),
+span AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS no FROM marked)
+SELECT doc_id, min(s) AS start_word, max(s) + 51 AS end_word, min(low) AS first_doc FROM span GROUP BY doc_id, no
+"""
