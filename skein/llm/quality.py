@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ._text import raw, slices
 
-#: Labelled documents that the classifier is fitted on, at most, of each of three kinds: toxic, poor, good.
-MAX_TRAIN_ROWS = 1000
+#: Labelled documents that the classifier is fitted on, at most, of each class: bad (toxic or poor), and good.
+MAX_TRAIN_ROWS = 2000
 #: Fewest labelled documents of either class to fit on.
 MIN_TRAIN_ROWS = 10
 THRESHOLD = 0.5
@@ -244,7 +244,7 @@ def bounds_of(owner: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(doc_id, bad, text) of up to ``most`` documents of each kind, those with the least hashes of doc_id.
+    """(doc_id, bad, text) of documents with up to ``most`` labels of each kind, toxic, poor and good: those with the least hashes of doc_id.
 
     bad: the labels' quality is below 1 or toxic above 0. Labels that repeat a doc_id are joined to the worse; labels that are NULL count as good in
     that respect, and documents without any are not used.
@@ -254,11 +254,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS
     kinds = [known.where("t > 0"), known.where("t <= 0 and q < 1"), known.where("t <= 0 and q >= 1")]
     some = None
     for bad, kind in zip((True, True, False), kinds):
-        # twice the rows: labels may be of documents that are not among these; the limit is the bound of the fit
-        part = kind.select("__id", F.lit(bad).alias("bad")).orderBy(F.xxhash64("__id"), "__id").limit(2 * most if bad else 2 * most)
+        part = kind.select("__id", F.lit(bad).alias("bad")).orderBy(F.xxhash64("__id"), "__id").limit(most)
         some = part if some is None else some.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    # at most 6 * most rows of two numbers: bounded by a parameter whatever the data
+    # at most 3 * most rows of two numbers: bounded by a parameter whatever the data
     return texts.join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "bad", "text")
 
 
@@ -267,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Net
     rows = training_rows(docs, labels, most).toPandas()
     rows = rows.assign(order=pd.util.hash_array(rows.doc_id.to_numpy(np.int64))).sort_values(["order", "text"])
     rows = rows[rows.text.str.len() > 0]
-    rows = pd.concat([rows[rows.bad].head(2 * most), rows[~rows.bad].head(2 * most)])
+    rows = pd.concat([rows[rows.bad].head(most), rows[~rows.bad].head(most)])
     if rows.bad.sum() < MIN_TRAIN_ROWS or (~rows.bad).sum() < MIN_TRAIN_ROWS:
         return None
     return fit([t.encode() for t in rows.text], rows.bad.to_numpy(bool))
@@ -294,7 +293,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, ma
 
     Every document is scored, over all of its text: filters of a few bytes slide over overlapping chunks, each
     filter's greatest response in a chunk feeds a hidden layer, and the chunk that looks worst decides. The
-    network is fitted here on a bounded sample (max_train_rows documents of each kind at most, whole) with a fixed seed, so the same tables give the same result.
+    network is fitted here on a bounded sample (max_train_rows documents of either class at most, whole) with a fixed seed, so the same tables give the same result.
 
     NULL and empty texts have p_good 0 and are not kept. Where either class has fewer than MIN_TRAIN_ROWS
     labelled documents nothing can be learned: p_good is 1 for all but those. Repeated rows are scored alike, each.
