@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once. Larger documents are handled alone, whole.
 SLICE = 1 << 18
+#: Bytes of text after which ``runs`` ends a table at the next key. Runs of one key are never parted.
+RUN_BYTES = 1 << 26
 
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xC2B2AE3D27D4EB4F
@@ -171,9 +173,13 @@ def sliced(f: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text")
     return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 2_000) -> Iterator[pa.Table]:
-    """Tables of about ``least`` rows with whole runs of equal keys, of batches that are sorted by key. A longer run comes alone."""
+def runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 2_000, most: int = RUN_BYTES) -> Iterator[pa.Table]:
+    """Tables with whole runs of equal keys, of batches that are sorted by key: of about ``least`` rows or ``most`` bytes of text, whichever comes first.
+
+    A longer run is not parted. Its texts may be too long for one chunk: read a table batch by batch, not combined.
+    """
     held: list[pa.RecordBatch] = []
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -182,14 +188,19 @@ def runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 2_000) -> Ite
         cuts = bounds(values)[:-1]
         if held and held[-1].column(batch.schema.get_field_index(key))[-1] == column[0]:
             cuts = cuts[1:]
-        at, rows = 0, sum(h.num_rows for h in held)
+        upto = np.zeros(batch.num_rows + 1, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
         for c in cuts.tolist():
-            if rows + c - at >= least:
+            if rows + c - at >= least or size + upto[c] - upto[at] >= most:
                 if c > at:
                     held.append(batch.slice(at, c - at))
                 yield pa.Table.from_batches(held)
-                held, at, rows = [], c, 0
+                held, at, rows, size = [], c, 0, 0
         held.append(batch.slice(at))
+        rows, size = rows + batch.num_rows - at, size + upto[-1] - upto[at]
     if held:
         yield pa.Table.from_batches(held)
 

@@ -66,10 +66,9 @@ def _clustered(similar: float):
     def run(batches):
         # rows: leaf, lh, text, sorted by leaf and text
         for t in runs(batches, "leaf"):
-            batch = t.combine_chunks().to_batches()[0]
-            leaf = batch.column(0).to_numpy()
+            leaf = t.column(0).to_numpy()
             tokens: list[np.ndarray] = []
-            for part in slices(batch):
+            for part in (p for batch in t.to_batches() for p in slices(batch)):
                 tokens += _token_hashes(part.column(2))
             out = np.zeros(len(leaf), np.int64)
             at = bounds(leaf)
@@ -81,7 +80,7 @@ def _clustered(similar: float):
                     i = a + np.flatnonzero(size == n)
                     out[i] = base + templates([tokens[j] for j in i], similar)
                     base = out[i].max() + 1
-            yield pa.RecordBatch.from_pydict({"leaf": batch.column(0), "lh": batch.column(1), "template": out})
+            yield pa.RecordBatch.from_pydict({"leaf": leaf, "lh": t.column(1).to_numpy(), "template": out})
 
     return run
 

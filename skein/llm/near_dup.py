@@ -182,11 +182,10 @@ def _verified(n: int, threshold: float):
     def run(batches):
         # rows: root, doc_id, text, sorted by root
         for t in runs(batches, "root"):
-            batch = t.combine_chunks().to_batches()[0]
-            roots = batch.column(0).to_numpy()
-            ids = batch.column(1).to_numpy()
+            roots = t.column(0).to_numpy()
+            ids = t.column(1).to_numpy()
             sets: list[np.ndarray] = []
-            for part in slices(batch):
+            for part in (p for batch in t.to_batches() for p in slices(batch)):
                 doc, h = ngrams(words(part.column(2)), n)
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]

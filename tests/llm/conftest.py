@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,3 +21,16 @@ def make(spark):
 
 def got(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+class Wide:
+    """A table whose chunks can't become one, as Arrow leaves those of more than 2 GiB of text."""
+
+    def __init__(self, *batches):
+        self.table = pa.Table.from_batches(batches)
+
+    def combine_chunks(self):
+        return self.table
+
+    def __getattr__(self, name):
+        return getattr(self.table, name)

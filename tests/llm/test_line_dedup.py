@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
+
 from skein.llm import line_dedup as L
 
-from .conftest import got
+from .conftest import Wide, got
 
 WHITE = " \t\r\f\x0b"
 
@@ -76,3 +78,10 @@ def test_odd_rows(make):
     n = {r["doc_id"]: r["count"] for r in out.collect()}
     assert n[0] == 0 and n[5] == 2 and n[50] == 0 and n[None] == 0 and n[60] == 1
     assert got(L.without_recurring_lines(make([]))) == []
+
+
+def test_a_leaf_of_several_chunks_is_clustered_whole(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"leaf": [7] * 4, "lh": [1, 2, 3, 4], "text": ["a b c d", "a b c x", "p q r s", "p q r t"]})
+    monkeypatch.setattr(L, "runs", lambda batches, key: [Wide(batch.slice(0, 1), batch.slice(1))])
+    out = pa.Table.from_batches(L._clustered(0.5)([])).to_pydict()
+    assert out == {"leaf": [7] * 4, "lh": [1, 2, 3, 4], "template": [0, 0, 1, 1]}

@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import near_dup as N
 
-from .conftest import got
+from .conftest import Wide, got
 
 
 def prose(rng, n, words=400):
@@ -113,3 +114,10 @@ def test_components(spark):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got(N.components(spark.createDataFrame(edges, "a long, b long"))) == sorted(root.items(), key=repr)
+
+
+def test_a_component_of_several_chunks_is_compared_whole(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"root": [1] * 4, "doc_id": [1, 2, 3, 4], "text": ["a b c d", "e f g h", "a b c d", "e f g h"]})
+    monkeypatch.setattr(N, "runs", lambda batches, key: [Wide(batch.slice(0, 2), batch.slice(2))])
+    out = pa.Table.from_batches(N._verified(3, 0.5)([])).to_pydict()
+    assert out == {"node": [1, 2, 3, 4], "grp": [1, 2, 1, 2]}

@@ -31,3 +31,10 @@ def test_slices_and_runs_lose_nothing():
     assert sum((b.column(1).to_pylist() for b in X.slices(batch, most=16)), []) == batch.column(1).to_pylist()
     got = list(X.runs([batch.slice(0, 2), batch.slice(2, 2), batch.slice(4)], "k", least=2))
     assert [t.column("k").to_pylist() for t in got] == [[1, 1], [2, 3, 3, 3], [4]] and list(X.runs([], "k")) == []
+
+
+def test_runs_end_by_bytes_too():
+    batch = pa.RecordBatch.from_pydict({"k": [1, 1, 2, 3, 4, 4], "text": ["a" * 5, "b" * 5, "c", "d" * 9, None, "e"]})
+    got = list(X.runs([batch.slice(0, 1), batch.slice(1)], "k", most=10))
+    assert [t.column("k").to_pylist() for t in got] == [[1, 1], [2, 3], [4, 4]]
+    assert [x for t in got for x in t.column("text").to_pylist()] == batch.column(1).to_pylist()
