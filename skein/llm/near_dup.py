@@ -129,6 +129,43 @@ def _estimated(k: int, least: float):
     return run
 
 
+def crossing(label: np.ndarray, n: np.ndarray, reg: np.ndarray, least: float, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with different labels whose estimate reaches ``least``: as many as connect all labels that such pairs connect.
+
+    Each row is compared with all later ones that no pair has connected with it yet.
+    """
+    _, label, size = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((label, size[label]))  # the label of most rows comes last: it is compared from the others' side alone
+    label, n, reg = label[order], n[order], reg[order]
+    a, b = [], []
+    for i in range(len(order) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        for at in range(0, len(rest), block):
+            part = rest[at : at + block]
+            near = part[estimate(reg[i : i + 1], reg[part], n[i : i + 1], n[part]) >= least]
+            joins, one = np.unique(label[near], return_index=True)
+            one = near[one][joins != label[i]]
+            a += [i] * len(one)
+            b += one.tolist()
+            label[np.isin(label, joins)] = label[i]
+    return order[np.array(a, np.int64)], order[np.array(b, np.int64)]
+
+
+def _crossed(k: int, least: float):
+    def run(batches):
+        # rows: key, doc_id, root, n, reg, sorted by key
+        for t in runs(batches, "key"):
+            key, ids, root, n = (t.column(i).to_numpy() for i in range(4))
+            reg = np.concatenate([_matrix(c, k) for c in t.column(4).chunks])
+            at = bounds(key)
+            for lo, hi in zip(at, at[1:]):
+                a, b = crossing(root[lo:hi], n[lo:hi], reg[lo:hi], least)
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": ids[lo:hi][a], "b": ids[lo:hi][b]})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that undirected edges (a, b) connect each node with.
 
@@ -220,8 +257,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     (2) documents with the same words collapse to the least doc_id; (3) bands of registers are keys, and
     in each bucket every document is tied to the bucket's first and to the one before it; (4) the registers'
     collision-corrected estimate drops ties that are clearly below the threshold; (5) connected components of
-    ties; (6) each component's texts meet once and all pairs in it that matter are compared by exact
-    similarity; (7) the exact copies come back. There is no cap on a bucket, a component or its partners.
+    ties; where a bucket's documents are in several, all of its pairs across components are estimated as well and ties
+    found there join components; (6) each component's texts meet once and all pairs in it that matter are compared by exact
+    similarity; (7) the exact copies come back. There is no cap on a bucket, a component or its partners: documents
+    that share a bucket are compared, directly or in their component.
 
     NULL, empty and blank texts belong to no group, nor do rows with a NULL doc_id. A text of fewer words
     than a shingle has one shingle, all its words. Rows that repeat a doc_id with the same words count as one
@@ -233,14 +272,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     sig = docs.mapInArrow(_signatures(k, shingle), "doc_id long, h1 long, h2 long, n long, reg binary")
     # a map-side combine keeps one row of each hot text per task
     reps = cut(sig.groupBy("h1", "h2").agg(F.min_by(F.struct("n", "reg"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("h1", "h2", "rep", "s.n", "s.reg"))
-    w = Window.partitionBy("key").orderBy("doc_id")
+    bucket = Window.partitionBy("key")
+    w = bucket.orderBy("doc_id")
     keys = reps.select("rep", "reg").mapInArrow(_banded(bands, rows), "key long, doc_id long")
-    ties = keys.select("doc_id", F.lag("doc_id").over(w).alias("prev"), F.min("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
-    ties = ties.where("prev is not null and prev <> doc_id").select(F.explode(F.array_distinct(F.array("first", "prev"))).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    keys = keys.select("key", "doc_id", F.lag("doc_id").over(w).alias("prev"), F.min("doc_id").over(bucket).alias("first"), F.count("*").over(bucket).alias("size"))
+    keys = cut(keys.where("size > 1"))
+    ties = keys.where("prev is not null and prev <> doc_id").select(F.explode(F.array_distinct(F.array("first", "prev"))).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
     one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra"))
     two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb"))
     near = ties.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(k, threshold - MARGIN), "a long, b long")
     comp = components(near)
+    # of up to three documents, the ties above are all pairs
+    crowd = keys.where("size > 3").select("key", "doc_id").distinct().join(comp, F.col("doc_id") == comp.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    crowd = crowd.select("*", F.min("root").over(bucket).alias("x"), F.max("root").over(bucket).alias("y")).where("x <> y")
+    crowd = crowd.join(reps, crowd.doc_id == reps.rep).select("key", "doc_id", "root", "n", "reg")
+    more = cut(crowd.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_crossed(k, threshold - MARGIN), "a long, b long"))
+    if not more.isEmpty():
+        comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     texts = comp.join(docs, comp.node == docs.doc_id).select("root", "doc_id", "text")
     same = texts.repartition("root").sortWithinPartitions("root", "doc_id").mapInArrow(_verified(shingle, threshold), "node long, grp long")
     same = cut(same.groupBy("node").agg(F.min("grp").alias("grp")))

@@ -121,3 +121,36 @@ def test_a_component_of_several_chunks_is_compared_whole(monkeypatch):
     monkeypatch.setattr(N, "runs", lambda batches, key: [Wide(batch.slice(0, 2), batch.slice(2))])
     out = pa.Table.from_batches(N._verified(3, 0.5)([])).to_pydict()
     assert out == {"node": [1, 2, 3, 4], "grp": [1, 2, 1, 2]}
+
+
+def test_near_copies_with_unlike_documents_between_them(make, monkeypatch):
+    def one_bucket(bands, rows):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"key": [1] * b.num_rows, "doc_id": b.column(0)})
+
+        return run
+
+    rng = random.Random(6)
+    base = [prose(rng, 200) for _ in range(6)]
+    rows = [(i, " ".join(w if rng.random() > 0.06 * (i > 5) else "x" + w for w in base[i % 6])) for i in range(12)]
+    monkeypatch.setattr(N, "_banded", one_bucket)
+    assert got(N.near_duplicates(make(rows))) == brute(rows) and len(brute(rows)) == 12
+
+
+def test_crossing_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 2000, (12, 192)).astype(np.uint16)
+    reg = base[rng.integers(0, 12, 90)]
+    reg = np.where(rng.random(reg.shape) < 0.35, rng.integers(1, 2000, reg.shape).astype(np.uint16), reg)
+    n, label = np.full(90, 400), rng.integers(0, 60, 90)
+
+    def connected(pairs):
+        to = label.copy()
+        for a, b in pairs:
+            to[to == to[a]] = to[b]
+        return {(i, j) for i in range(90) for j in range(90) if to[i] == to[j]}
+
+    pairs = [(i, j) for i in range(90) for j in range(i) if N.estimate(reg[i : i + 1], reg[j : j + 1], n[:1], n[:1])[0] >= 0.38]
+    have = list(zip(*N.crossing(label, n, reg, 0.38, block=7)))
+    assert set(have) <= set(pairs) | {(b, a) for a, b in pairs} and connected(have) == connected(pairs)
