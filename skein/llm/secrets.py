@@ -28,16 +28,22 @@ SHAPES = re.compile(
 EMPTY = {"", "null", "none", "nil", "true", "false", "undefined", "changeme", "change_me", "example", "placeholder", "todo", "string", "str", "int", "xxx", "redacted", "password", "secret", "token", "test", "your_password", "yourpassword"}
 
 TOKEN = re.compile(
-    r"""(?P<space>[^\S\n]+)|(?P<line>\n)
-    |(?P<string>"(?:[^"\\\n]|\\.)*"|(?<!\w)'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)
+    r'''(?P<space>[^\S\n]+)|(?P<line>\n)
+    |(?P<string>"""(?:[^\\]|\\[\s\S])*?"""|(?<!\w)\'{3}(?:[^\\]|\\[\s\S])*?\'{3}
+      |"(?:[^"\\\n]|\\.)*"|(?<!\w)'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)
     |(?P<name>[^\W\d][\w\-]*(?:\.[^\W\d][\w\-]*)*)
     |(?P<op>===?|!==?|<=|>=|=>|:=|::|[=:+,;\[\](){}])
-    |(?P<other>[^\s"'`=:+,;\[\](){}]+|.)""",
+    |(?P<other>[^\s"'`=:+,;\[\](){}]+|.)''',
     re.X,
 )
 #: An unquoted value goes on to the next white space or separator.
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 REFERENCE = re.compile(r"\$\{(\w+)\}|\$(\w+)|\{\{\s*(\w+)\s*\}\}")
+#: Words that stand before the credentials in a header.
+SCHEMES = {"basic", "bearer", "token", "apikey", "api-key", "negotiate", "ntlm", "digest"}
+SCHEME = re.compile(rf"\s*(?:{'|'.join(sorted(SCHEMES))})\s+(?=\S+\s*$)", re.I)
+#: name=value, as in digest credentials; not the padding of base64.
+PARAMETER = re.compile(r"[\w\-]+=[^=]")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -72,15 +78,20 @@ def _lex(text: str) -> list[tuple[str, str, int]]:
     return [(m.lastgroup, m.group(), m.start()) for m in TOKEN.finditer(text) if m.lastgroup != "space"]
 
 
+def _quotes(s: str) -> int:
+    return 3 if len(s) >= 6 and s[:3] == s[-3:] in ('"""', "'''") else 1
+
+
 def _unquote(s: str) -> str:
-    body = s[1:-1]
+    body = s[_quotes(s) : -_quotes(s)]
     return re.sub(r"\\(.)", r"\1", body) if "\\" in body else body
 
 
 def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth: int = 3) -> Iterator[tuple[str, str, int, bool, bool]]:
     """(name, literal, place, quoted, propagated) of the text's assignments.
 
-    name = value, name := value, name: value, name => value, name: type = value, "name": value and table["name"] = value; values are
+    name = value, name := value, name: value, name => value, name: type = value, "name": value and table["name"] = value; what looks like a type may
+    be the name, after a word of a log, and has the value if it's the more sensitive. Of a header's scheme and credentials, the latter are the value. Values are
     quoted or bare literals, sums of them, or names assigned before, whose literals are propagated, also into ${name}.
     Quoted strings that hold assignments are read too.
     """
@@ -91,7 +102,7 @@ def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth:
     while i < n:
         kind, s, at = t[i]
         if kind == "string" and depth and ("=" in s or ":" in s):
-            yield from pairs(s[1:-1], known, base + at + 1, depth - 1)
+            yield from pairs(s[_quotes(s) : -_quotes(s)], known, base + at + _quotes(s), depth - 1)
         name, j = None, i + 1
         if kind == "name":
             name = s
@@ -103,17 +114,24 @@ def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth:
             i += 1
             continue
         if t[j][1] == ":" and j + 2 < n and t[j + 1][0] == "name" and t[j + 2][1] == "=":
+            if name_score(t[j + 1][1]) > name_score(name):
+                name = t[j + 1][1]
             j += 2  # an annotation
         j += 1
+        scheme = j + 1 < n and t[j][1].lower() in SCHEMES and t[j + 1][0] in ("name", "other") and name_score(name) > 0 and (m := BARE.match(text, t[j + 1][2])) is not None and not PARAMETER.match(m.group())
+        if scheme:
+            j += 1
         parts: list[str] = []
         place, quoted, moved = -1, False, False
         while j < n and t[j][0] != "line":
             vk, v, va = t[j]
             if vk == "string":
-                parts.append(REFERENCE.sub(lambda m: known.get(next(filter(None, m.groups())), m.group()), _unquote(v)))
-                place, quoted = (va + 1 if place < 0 else place), True
+                body, q = _unquote(v), _quotes(v)
+                skip = m.end() if not parts and name_score(name) > 0 and (m := SCHEME.match(body)) else 0
+                parts.append(REFERENCE.sub(lambda m: known.get(next(filter(None, m.groups())), m.group()), body[skip:]))
+                place, quoted = (va + q + skip if place < 0 else place), True
                 if depth and ("=" in v or ":" in v):
-                    yield from pairs(v[1:-1], known, base + va + 1, depth - 1)
+                    yield from pairs(v[q:-q], known, base + va + q, depth - 1)
                 j += 1
             elif v[0] in "${" and (m := REFERENCE.match(text, va)) and (ref := next(filter(None, m.groups()))) in known:
                 parts.append(known[ref])
@@ -128,7 +146,9 @@ def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth:
                 if j + 1 < n and t[j + 1][1] in ("(", "[", ".") and t[j + 1][2] == va + len(v):
                     parts = []  # a call or an index is no literal
                     break
-                if j + 1 < n and t[j + 1][1] in ("=", ":=") and t[j + 1][2] == va + len(v) and vk == "name" and "=" not in m.group()[len(v) + 1 :] and t[j - 1][1] != "=":
+                if j + 1 < n and t[j + 1][1] in (":", "=>") and vk == "name" and m.group() in (v, v + ":", v + "=") and name_score(v) > 0:
+                    break  # a word of a log before the name
+                if not scheme and j + 1 < n and t[j + 1][1] in ("=", ":=") and t[j + 1][2] == va + len(v) and vk == "name" and "=" not in m.group()[len(v) + 1 :] and t[j - 1][1] != "=":
                     break  # the next assignment begins
                 bare = m.group().rstrip(".:!?")
                 parts.append(bare)

@@ -49,3 +49,25 @@ def test_the_filter_before_python_drops_nothing(make, spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = sorted(((r.doc_id, *x) for r in docs.collect() for x in S.secrets_of(r.text or "")), key=repr)
     assert got(S.secrets(docs)) == want
+
+
+def test_credentials_after_a_scheme():
+    for text in (f"Authorization: Bearer {KEY}", f'curl -H "Authorization: Bearer {KEY}" https://a.example', f"curl -H 'authorization: token {KEY}' x", f'{{"Authorization": "Bearer {KEY}"}}', f"Proxy-Authorization: Basic {KEY}="):
+        ((_, value, at, _, _),) = S.secrets_of(text)
+        assert value.rstrip("=") == KEY and text[at : at + len(value)] == value, text
+    assert found("Authorization: Bearer <token>") == found("Authorization: Basic training") == []
+
+
+def test_a_word_of_a_log_before_the_name():
+    for text in (f'warning: token = "{KEY}"', f"INFO: db: password = {KEY}", f"error: token: {KEY}", f"note: api_key => '{KEY}'"):
+        assert [(v, n in ("token", "password", "api_key")) for n, v, _ in found(text)] == [(KEY, True)], text
+    assert found(f"secret: Token = '{KEY}'") == [("secret", KEY, "assigned")]
+
+
+def test_triple_quoted_values():
+    for q in ('"""', "'''"):
+        for body in (KEY, f"\n{KEY}\n"):
+            text = f"x = 1\ntoken = {q}{body}{q}\ny = 2"
+            assert [(r[0], r[1], text[r[2] : r[2] + len(r[1])]) for r in S.secrets_of(text)] == [("token", body, body)]
+        assert found(f"doc = {q}first\npassword: {KEY}\nlast{q}") == [("password", KEY, "assigned")]
+    assert found(f'a = """ open\ntoken = "{KEY}"') == [("token", KEY, "assigned")]
