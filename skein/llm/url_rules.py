@@ -6,13 +6,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._text import cut
+
 #: Share of the labelled URLs that a rule's tokens and the label must occur in together, and fewest of them.
 MIN_SUPPORT = 0.002
 MIN_COUNT = 5
 #: Share of the URLs with a rule's tokens that are bad.
 MIN_CONFIDENCE = 0.5
-#: Most tokens of a rule.
-MOST_TOKENS = 3
+#: Most tokens of a rule; None: any number.
+MOST_TOKENS = None
 BAD = "\x00bad"
 
 
@@ -33,7 +35,7 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("url", F.expr(r"try_cast(regexp_extract(url, '://[^/]*/[a-z]+/([0-9]+)', 1) as long)").alias("__id")).join(verdict, "__id").select("url", "bad")
 
 
-def mine(known: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int = MOST_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
+def mine(known: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int | None = MOST_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
     """(tokens, confidence, support): rules of at most most_tokens tokens, sorted, that say that a URL is bad, from (url, bad).
 
     FP-growth finds the token sets that are frequent together with the label; those whose share of bad
@@ -49,23 +51,27 @@ def mine(known: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: flo
         return spark.createDataFrame([], kind)
     # half a URL less, so that rounding loses no set; exact counts decide below
     fitted = FPGrowth(itemsCol="items", minSupport=max(least - 0.5, 0.5) / n, minConfidence=0.0).fit(baskets)
-    sets = fitted.freqItemsets.select(F.sort_array("items").alias("items"), "freq").where(F.size("items") <= most_tokens + 1)
+    sets = fitted.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
     both = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("support"))
     rules = both.join(sets.where(~F.array_contains("items", BAD)).select(F.col("items").alias("tokens"), F.col("freq").alias("all")), "tokens")
-    rules = rules.where(F.col("support") >= least).select("tokens", (F.col("support") / F.col("all")).alias("confidence"), "support").where(F.col("confidence") >= min_confidence)
-    part = F.explode(F.filter(F.flatten(F.array(*[_subsets(F.col("tokens"), k, most_tokens) for k in range(1, most_tokens)])), lambda s: F.size(s) < F.size("tokens"))).alias("sub")
-    fewer = rules.select(F.col("tokens").alias("whole"), F.col("confidence").alias("c"), part)
-    smaller = rules.select(F.col("tokens").alias("sub"), F.col("confidence").alias("sc"))
-    needless = fewer.join(smaller, "sub").where("sc >= c").select(F.col("whole").alias("tokens")).distinct()
-    return rules.join(needless, "tokens", "left_anti").select("tokens", "confidence", "support")
-
-
-def _subsets(tokens: Column, k: int, most: int) -> Column:
-    """Subsets of k of at most ``most`` tokens, sorted like them."""
-    if k == 1:
-        return F.transform(tokens, lambda x: F.array(x))
-    out = _subsets(tokens, k - 1, most)
-    return F.flatten(F.transform(out, lambda s: F.transform(F.filter(tokens, lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x)))))
+    rules = rules.where(F.col("support") >= least).select("tokens", (F.col("support") / F.col("all")).alias("confidence"), "support")
+    if most_tokens is not None:
+        rules = rules.where(F.size("tokens") <= most_tokens)
+    rules = cut(rules)
+    # by size: the subsets of a frequent set are all there, and those of one token less know the best rule in them
+    out, best = spark.createDataFrame([], kind), None
+    for n in range(1, (rules.agg(F.max(F.size("tokens"))).first()[0] or 0) + 1):
+        level = rules.where(F.size("tokens") == n)
+        if best is None:
+            level = level.withColumn("below", F.lit(-1.0))
+        else:
+            less = level.select("tokens", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("sub"))
+            less = less.join(best.withColumnRenamed("tokens", "sub"), "sub").groupBy("tokens").agg(F.max("best").alias("below"))
+            level = level.join(less, "tokens")
+        level = cut(level)
+        best = level.select("tokens", F.greatest("below", F.when(F.col("confidence") >= min_confidence, F.col("confidence"))).alias("best"))
+        out = out.union(level.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("below"))).select("tokens", "confidence", "support"))
+    return out
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -84,7 +90,7 @@ def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select("page_id", "url", F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.round(F.coalesce("confidence", F.lit(0.0)), 6).alias("confidence"), F.col("n_rules").isNotNull().alias("drop"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int = MOST_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int | None = MOST_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
     """A row for each page: (page_id, url, n_rules, confidence, drop), by rules mined from the labels of all pages that have one.
 
     Without labelled pages there are no rules and all pages stay. A NULL, empty or malformed URL has few or no tokens and matches

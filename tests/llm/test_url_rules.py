@@ -54,3 +54,14 @@ def test_odd_rows(spark):
     assert {d for i, d in have if i in (30, 40, 41, 42) or i is not None and i >= 100} == {False} and all(d for i, d in have if i is None or i < 20 or i == 43)
     assert {r["drop"] for r in U.url_filter(pages, labels.where("false")).collect()} == {False}
     assert got(U.url_filter(pages.where("false"), labels)) == []
+
+
+def test_rules_of_any_number_of_tokens(spark):
+    good = [f"x://{h}" for h in ("a.b.c", "a.b.d", "a.c.d", "b.c.d") for _ in range(8)]
+    known = [(u, 0) for u in good] + [("x://a.b.c.d", 1)] * 6 + [("x://q.r", 1)] * 5
+    frame = spark.createDataFrame(known, "url string, bad int")
+    tokens_of = {r.url: r.t for r in frame.select("url", U.url_tokens(F.col("url")).alias("t")).collect()}
+    rules = U.mine(frame, 0.002, 0.5, min_count=5)
+    want = brute(known, 0.002, 0.5, 5, 5, tokens_of.get)
+    assert {tuple(r.tokens): (round(r.confidence, 9), r.support) for r in rules.collect()} == {s: (round(c, 9), n) for s, (c, n) in want.items()}
+    assert ("h:a", "h:b", "h:c", "h:d") in want and max(map(len, want)) == 4
