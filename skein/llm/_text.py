@@ -9,7 +9,6 @@ Words are maximal runs of bytes that are not ASCII white space, lower-cased in A
 
 from __future__ import annotations
 
-import functools
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -43,38 +42,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, np.ndarray] = {}
+#: Moduli of the polynomial hashes. Modulo a power of two, texts like the Thue-Morse sequence and its complement would collide for every base.
+PRIMES = (2**31 - 1, 2**31 - 19)
 
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n at least."""
-    have = _powers.get(base)
+
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**i mod prime for i < n at least."""
+    have = _powers.get((base, prime))
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * SLICE), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, SLICE):
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)])
+        _powers[base, prime] = have
     return have
 
 
-@functools.cache
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 class Rolling:
-    """Prefix polynomial hashes (mod 2**64) of a sequence of 64-bit values.
+    """Prefix polynomial hashes of a sequence of 64-bit values, modulo two primes.
 
     ``of(i, j)`` is the hash of values[i:j] for arrays of positions, in constant time each.
     """
 
     def __init__(self, values: np.ndarray, base: int = BASE):
         n = len(values)
-        self.inv = powers(inverse(base), n + 1)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(base, n + 1)[:n], dtype=np.uint64, out=self.prefix[1:])
+        self.parts = []
+        for p in PRIMES:
+            prefix = np.zeros(n + 1, np.uint64)
+            # sums of numbers below 2**31 don't overflow
+            np.cumsum(values % np.uint64(p) * powers(base % p, p, n + 1)[:n] % np.uint64(p), dtype=np.uint64, out=prefix[1:])
+            self.parts.append((np.uint64(p), prefix, powers(pow(base, -1, p), p, n + 1)))
 
     def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (self.prefix[j] - self.prefix[i]) * self.inv[i]
+        one, two = ((prefix[j] - prefix[i]) % p * inv[i] % p for p, prefix, inv in self.parts)
+        return one << np.uint64(32) | two
+
+
+def view64(a: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as a number; the array is padded."""
+    padded = np.concatenate([a, np.zeros(8, np.uint8)])
+    return np.ndarray(len(a), "<u8", padded.tobytes(), strides=(1,))
+
+
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings buf[start:end], none empty: sums of mixed blocks of 8 bytes, each mixed with its number, and of the length."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    k = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(start, n) + (k << 3)
+    left = np.minimum(np.repeat(end, n) - at, 8)
+    number = mix(np.arange(1, int(n.max()) + 1, dtype=np.uint64) * np.uint64(BASE))
+    blocks = mix((view64(buf)[at] & _MASK[left]) ^ number[k])
+    return mix(np.add.reduceat(blocks, first) + size.astype(np.uint64) * np.uint64(BASE2))
 
 
 @dataclass
@@ -126,7 +152,7 @@ def words(column: pa.Array, lower: bool = True, hashed: bool = True) -> Words:
     start = np.flatnonzero(~white & before)
     end = np.flatnonzero(~white & after) + 1
     first = np.searchsorted(start, off)
-    h = mix(Rolling(buf.astype(np.uint64) + np.uint64(1)).of(start, end)) if hashed else np.zeros(0, np.uint64)
+    h = spans_hash(buf, start, end) if hashed else np.zeros(0, np.uint64)
     return Words(buf, start, end, first, h)
 
 
@@ -149,7 +175,27 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
     doc = np.repeat(np.arange(w.n_docs), count)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + w.first[:-1][doc]
-    return doc, mix(Rolling(w.hash, BASE2).of(at, np.minimum(at + n, w.first[1:][doc])))
+    end = w.first[1:][doc]
+    h = np.zeros(len(doc), np.uint64)
+    for i in range(n):
+        part = mix(h * np.uint64(BASE) + w.hash[np.minimum(at + i, end - 1)])
+        h = part if i == 0 else np.where(at + i < end, part, h)
+    return doc, h
+
+
+def normal(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as " word word ... word " one after another, where each begins (and the last ends), and where each word begins."""
+    n = w.n_docs
+    size = w.end - w.start
+    at = np.cumsum(size + 1) - size + w.doc()
+    total = np.concatenate([[0], np.cumsum(size + 1)])
+    begin = total[w.first] + np.arange(n + 1)
+    inside = np.ones(int(begin[-1]), bool)
+    inside[at + size] = False
+    inside[begin[:-1]] = False
+    out = np.full(len(inside), 32, np.uint8)
+    out[inside] = w.buf[~WHITE[w.buf]]
+    return out, begin, at
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:

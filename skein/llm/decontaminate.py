@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, ranges, sliced, without, words
+from ._text import normal, ranges, sliced, view64, without, words
 
 #: Words of a passage that must be found in a row. Shorter benchmark texts are searched for whole.
 PASSAGE = 13
@@ -21,18 +21,6 @@ TABLE_BITS = 20
 MOST_BYTES = 16 << 20
 
 
-def normal(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Texts as " word word ... word " one after another, and where each begins (and the last ends)."""
-    n = w.n_docs
-    size = w.end - w.start
-    doc = w.doc()
-    lead = np.cumsum(size + 1) - size - 1 + doc
-    out = np.full(int((size + 1).sum()) + n, 32, np.uint8)
-    out[ranges(lead + 1, size)] = w.buf[ranges(w.start, size)]
-    total = np.concatenate([[0], np.cumsum(size + 1)])
-    return out, total[w.first] + np.arange(n + 1)
-
-
 @dataclass
 class Patterns:
     """Tables of Wu-Manber: how far to skip by the block that ends the search window, and which strings end so."""
@@ -51,12 +39,6 @@ def block_hash(view: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def view64(a: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as a number; the array is padded."""
-    padded = np.concatenate([a, np.zeros(8, np.uint8)])
-    return np.ndarray(len(a), "<u8", padded.tobytes(), strides=(1,))
-
-
 def compile_patterns(items: list[tuple[int, str]], passage: int = PASSAGE, least: int = LEAST) -> Patterns | None:
     if least < 4 or passage < 4:
         raise ValueError("passages must have 4 words at least, so that they are longer than a block")
@@ -121,7 +103,7 @@ def search(p: Patterns, flat: np.ndarray, lane: int = 1024) -> tuple[np.ndarray,
 
 def _searched(p: Patterns):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat, begin = normal(words(batch.column(1), hashed=False))
+        flat, begin, _ = normal(words(batch.column(1), hashed=False))
         pos, pat = search(p, flat)
         doc = np.searchsorted(begin, pos, side="right") - 1
         return pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(doc)), "item_id": p.item[pat].astype(np.int64), "at": (pos - begin[doc]).astype(np.int64), "pattern": pat.astype(np.int64)})

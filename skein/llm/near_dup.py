@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import BASE, BASE2, Rolling, bounds, cut, mix, ngrams, raw, runs, slices, sliced, without, words
+from ._text import BASE, BASE2, RUN_BYTES, bounds, cut, mix, ngrams, normal, ranges, raw, runs, slices, sliced, without, words
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -17,7 +19,7 @@ BANDS = 48
 ROWS = 4
 #: Bits of the mantissa that a register keeps after the leading zeros' count (6 bits).
 MANTISSA = 10
-#: Candidate edges may be estimated so far below the threshold; exact verification follows.
+#: Candidate edges may be estimated so far below the threshold; exact verification follows. Those estimated lower are lost.
 MARGIN = 0.12
 
 
@@ -91,11 +93,13 @@ def _signatures(k: int, n: int):
         w = words(batch.column(1))
         doc, h = ngrams(w, n)
         reg = registers(doc, h, w.n_docs, k)
-        lo, hi = w.first[:-1], w.first[1:]
-        one, two = mix(Rolling(w.hash, BASE).of(lo, hi)), mix(Rolling(w.hash, BASE2).of(lo, hi) + (hi - lo).astype(np.uint64))
-        some = np.flatnonzero(hi > lo)
+        flat, begin, _ = normal(w)
+        body = memoryview(flat)
+        some = np.flatnonzero(np.diff(w.first))
+        digest = b"".join(hashlib.blake2b(body[begin[i] : begin[i + 1]], digest_size=16).digest() for i in some)
+        same = np.frombuffer(digest, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_pydict({
-            "doc_id": batch.column(0).take(pa.array(some)), "h1": one[some].view(np.int64), "h2": two[some].view(np.int64),
+            "doc_id": batch.column(0).take(pa.array(some)), "h1": same[:, 0], "h2": same[:, 1],
             "n": np.bincount(doc, minlength=w.n_docs)[some],
             "reg": pa.array([r.tobytes() for r in reg[some]], pa.binary()),
         })
@@ -188,14 +192,55 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def joined(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+@dataclass
+class Shingles:
+    """Distinct shingles of a text: their hashes, sorted, and the bytes of each, flat[start:end]."""
+
+    hash: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    flat: np.ndarray
+
+    def same(self, other: Shingles, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Whether shingles, by place in self and in other, have the same bytes."""
+        a, b = self.start[mine], other.start[theirs]
+        size = self.end[mine] - a
+        ok = size == other.end[theirs] - b
+        i = np.flatnonzero(ok)
+        if len(i):
+            eq = self.flat[ranges(a[i], size[i])] == other.flat[ranges(b[i], size[i])]
+            ok[i] = np.logical_and.reduceat(eq, np.cumsum(size[i]) - size[i])
+        return ok
+
+
+def shingles_of(column: pa.Array, n: int) -> list[Shingles]:
+    """Shingles of each row of a slice."""
+    w = words(column)
+    flat, _, at = normal(w)
+    doc, h = ngrams(w, n)
+    count = np.bincount(doc, minlength=w.n_docs)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + w.first[:-1][doc]
+    last = np.minimum(place + n, w.first[1:][doc]) - 1
+    start, end = at[place], at[last] + (w.end - w.start)[last]
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    doc, h, start, end = doc[keep], h[keep], start[order][keep], end[order][keep]
+    ends = np.searchsorted(doc, np.arange(w.n_docs + 1))
+    return [Shingles(h[a:b], start[a:b], end[a:b], flat) for a, b in zip(ends, ends[1:])]
+
+
+def joined(sets: list[Shingles], threshold: float) -> np.ndarray:
     """Number of each set's component, where sets whose Jaccard similarity reaches the threshold are connected.
 
-    A search that compares each set it visits with all that no component has yet.
+    A search that compares each set it visits with all that no component has yet: by hashes of shingles first, and where
+    those suffice by the shingles' bytes.
     """
     n = len(sets)
     out = np.full(n, -1)
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s.hash) for s in sets])
+    flat, start = np.concatenate([s.hash for s in sets]), np.cumsum(size) - size
     left = np.arange(n)
     number = 0
     while len(left):
@@ -203,11 +248,22 @@ def joined(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         out[queue[0]] = number
         while queue and len(left):
             x = queue.pop()
-            flat = np.concatenate([sets[i] for i in left])
-            at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
-            hit = (sets[x][at] == flat).astype(np.int64)
-            inter = np.add.reduceat(hit, np.cumsum(size[left]) - size[left])
-            near = inter >= threshold * (size[left] + size[x] - inter) - 1e-9
+            # a set of another size altogether can't be near
+            fit = np.minimum(size[left], size[x]) >= threshold * np.maximum(size[left], size[x]) - 1e-9
+            some = left[fit]
+            near = np.zeros(len(left), bool)
+            if len(some):
+                theirs = flat[ranges(start[some], size[some])]
+                at = np.minimum(np.searchsorted(sets[x].hash, theirs), size[x] - 1)
+                hit = sets[x].hash[at] == theirs
+                first = np.cumsum(size[some]) - size[some]
+                enough = np.add.reduceat(hit.astype(np.int64), first) >= threshold * (size[some] + size[x]) / (1 + threshold) - 1e-9
+                for i in np.flatnonzero(enough):
+                    y = some[i]
+                    b = np.flatnonzero(hit[first[i] : first[i] + size[y]])
+                    k = int(sets[x].same(sets[y], at[first[i] + b], b).sum())
+                    enough[i] = k >= threshold * (size[y] + size[x] - k) - 1e-9
+                near[fit] = enough
             out[left[near]] = number
             queue += left[near].tolist()
             left = left[~near]
@@ -218,19 +274,10 @@ def joined(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def _verified(n: int, threshold: float):
     def run(batches):
         # rows: root, doc_id, text, sorted by root
-        for t in runs(batches, "root"):
+        for t in runs(batches, "root", most=RUN_BYTES // 4):
             roots = t.column(0).to_numpy()
             ids = t.column(1).to_numpy()
-            sets: list[np.ndarray] = []
-            for part in (p for batch in t.to_batches() for p in slices(batch)):
-                doc, h = ngrams(words(part.column(2)), n)
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                keep = np.ones(len(h), bool)
-                keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-                doc, h = doc[keep], h[keep]
-                ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                sets += [h[a:b] for a, b in zip(ends, ends[1:])]
+            sets = [s for batch in t.to_batches() for p in slices(batch) for s in shingles_of(p.column(2), n)]
             nodes, groups = [], []
             at = bounds(roots)
             for a, b in zip(at, at[1:]):
@@ -253,13 +300,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     Near copies have a Jaccard similarity of at least ``threshold`` over sets of word ``shingle``-grams.
     group_id is the least doc_id of the group, n its number of documents.
 
-    Steps: (1) one pass makes each document's HyperMinHash registers and two hashes of its words;
-    (2) documents with the same words collapse to the least doc_id; (3) bands of registers are keys, and
+    Steps: (1) one pass makes each document's HyperMinHash registers and a cryptographic digest (128 bits) of its words;
+    (2) documents with the same digest collapse to the least doc_id; (3) bands of registers are keys, and
     in each bucket every document is tied to the bucket's first and to the one before it; (4) the registers'
     collision-corrected estimate drops ties that are clearly below the threshold; (5) connected components of
     ties; where a bucket's documents are in several, all of its pairs across components are estimated as well and ties
     found there join components; (6) each component's texts meet once and all pairs in it that matter are compared by exact
-    similarity; (7) the exact copies come back. There is no cap on a bucket, a component or its partners: documents
+    similarity, equal hashes of shingles being confirmed by their bytes; (7) the exact copies come back. There is no cap on a bucket, a component or its partners: documents
     that share a bucket are compared, directly or in their component.
 
     NULL, empty and blank texts belong to no group, nor do rows with a NULL doc_id. A text of fewer words

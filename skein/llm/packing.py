@@ -9,13 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import cut
-from .tokens import VOCABULARY, token_counts
+from ._text import cut, slices
+from .tokens import VOCABULARY, encode, encoding, ids_of
 
 #: Tokens of a window.
 CAPACITY = 2048
-#: Groups that pieces of one length are numbered in.
-BUCKETS = 256
 
 
 class Tree:
@@ -59,7 +57,7 @@ class Plan:
 
 
 def best_fit_decreasing(sizes: dict[int, int], capacity: int) -> Plan:
-    """Best-fit decreasing of sizes[length] pieces of each length < capacity.
+    """Best-fit decreasing of sizes[length] pieces of each length <= capacity.
 
     Pieces of a length are alike, and so are windows of equal room, so both are handled in runs: the result is that of
     placing one piece after another, and the work depends on capacity, not on the number of pieces. When
@@ -119,46 +117,68 @@ def place(plan: Plan, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray,
 def _placed(plan: Plan):
     def run(batches):
         for b in batches:
-            length, rank = b.column(2).to_numpy(), b.column(3).to_numpy()
-            window, at = place(plan, length, rank)
-            yield pa.RecordBatch.from_pydict({"window_id": window, "at": at, "doc_id": b.column(0), "start": b.column(1), "n_tokens": length})
+            window, at = place(plan, b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(at), *b.columns[2:]], ["window_id", "at", *b.schema.names[2:]])
 
     return run
 
 
-def packed(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """Windows for documents of given lengths (doc_id, n_tokens): (window_id, at, doc_id, start, n_tokens).
+def _cut_up(capacity: int, vocabulary: str):
+    def run(batches):
+        enc = encoding(vocabulary)
+        for whole in batches:
+            for batch in slices(whole):
+                doc, start, size, codes = [], [], [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    if not text:
+                        continue
+                    ids = np.array([*ids_of(enc, text), enc.n_vocab], np.uint64)
+                    for at in range(0, len(ids), capacity):
+                        part = ids[at : at + capacity]
+                        doc.append(i)
+                        start.append(at)
+                        size.append(len(part))
+                        codes.append(encode(part))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(codes, pa.binary())], ["doc_id", "start", "n_tokens", "codes"])
+
+    return run
+
 
-    A row for each piece: n_tokens tokens of the document from its token start lie in the window from token at. Documents
-    of capacity tokens or more are first cut into full windows; what is left of all documents is packed by best-fit
-    decreasing over all of them, longest first, those of equal length in a fixed order by hash and doc_id. window_id counts from 0 without gaps.
+def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Windows for pieces (doc_id, start, n_tokens, codes) of at most capacity tokens each: (window_id, at, doc_id, start, n_tokens, codes).
 
-    What the driver holds is the number of pieces of each length, capacity numbers at most, and the plan made of it. Documents of
-    0 or NULL tokens have no piece. Rows with a NULL doc_id, and repeated rows, are packed like others, each.
+    A row for each piece, which lies in the window from token at. Pieces are packed by best-fit
+    decreasing over all of them, longest first, those of equal length in the order of the rows. window_id counts from 0 without gaps.
+
+    Pieces are numbered by length within each partition of the checkpointed input, and partitions' counts give the offsets, so
+    neither a length nor a document that many rows have meets in one task. What the driver holds is the number of pieces of each length, capacity numbers
+    at most, and the plan made of it. Pieces of 0 or NULL tokens are left out. Rows with a NULL doc_id, and repeated rows, are packed like others, each.
     """
-    lengths = cut(lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n")).where("n > 0"))
-    lengths = lengths.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    tail = lengths.select("doc_id", (F.col("n") - F.col("n") % capacity).alias("start"), (F.col("n") % capacity).alias("length"), "bucket").where("length > 0")
-    counts = tail.groupBy("length", "bucket").agg(F.count("*").alias("c"))
-    sizes = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # capacity - 1 rows at most
+    pieces = cut(pieces.where("n_tokens > 0"))
+    n = F.monotonically_increasing_id()  # of checkpointed rows: the same each time
+    pieces = pieces.select("*", n.alias("__row"), F.shiftright(n, 33).alias("__part"))
+    counts = cut(pieces.groupBy("n_tokens", "__part").agg(F.count("*").alias("c")))
+    sizes = {r.n_tokens: r.c for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}  # capacity rows at most
+    if max(sizes, default=0) > capacity:
+        raise ValueError("a piece is longer than a window")
     plan = best_fit_decreasing(sizes, capacity)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
-    o = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
-    ranked = tail.withColumn("r", F.row_number().over(o)).join(offsets, ["length", "bucket"])
-    small = ranked.select("doc_id", "start", "length", (F.col("o") + F.col("r") - 1).alias("rank")).mapInArrow(_placed(plan), "window_id long, at long, doc_id long, start long, n_tokens long")
-    whole = lengths.select("doc_id", "n", F.floor(F.col("n") / capacity).alias("full"), "bucket").where("full > 0")
-    per = whole.groupBy("bucket").agg(F.sum("full").alias("c"))
-    per = per.select("bucket", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))  # buckets rows
-    b = Window.partitionBy("bucket").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("r", F.coalesce(F.sum("full").over(b), F.lit(0))).join(per, "bucket")
-    piece = F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("i")
-    whole = whole.select("doc_id", (F.lit(plan.windows) + F.col("o") + F.col("r")).alias("w"), piece)
-    whole = whole.select((F.col("w") + F.col("i")).alias("window_id"), F.lit(0).cast("long").alias("at"), "doc_id", (F.col("i").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"))
-    return small.union(whole)
+    before = Window.partitionBy("n_tokens").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("n_tokens", "__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__before"))
+    own = Window.partitionBy("n_tokens", "__part").orderBy("__row")
+    ranked = pieces.withColumn("__n", F.row_number().over(own)).join(offsets, ["n_tokens", "__part"])
+    ranked = ranked.select("n_tokens", (F.col("__before") + F.col("__n") - 1).alias("rank"), "doc_id", "start", F.col("n_tokens").alias("n"), "codes")
+    return ranked.mapInArrow(_placed(plan), "window_id long, at long, doc_id long, start long, n_tokens long, codes binary")
 
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``packed`` for the token counts of docs' whole texts, each with one separator token more at its end; empty and NULL texts have no window."""
-    counts = token_counts(docs, vocabulary)
-    return packed(counts.select("doc_id", F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1).otherwise(0).alias("n_tokens")), capacity)
+    """Training windows of docs' whole texts: (window_id, at, doc_id, start, n_tokens, codes), a row for each piece of a document.
+
+    Each document is its token ids and one separator, the first id beyond the vocabulary. Documents of more than capacity tokens are
+    first cut into full windows, and what is left of all documents is packed by ``packed``. The piece's n_tokens ids are those of the document from start;
+    codes holds them as ``tokens.encode`` does, so a window is its rows' codes in the order of at.
+
+    Empty and NULL texts have no window; rows with a NULL doc_id, and repeated rows, are packed each. Texts may be of any length. Other columns are
+    not looked at.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return packed(docs.mapInArrow(_cut_up(capacity, vocabulary), "doc_id long, start long, n_tokens long, codes binary"), capacity)

@@ -168,6 +168,7 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, lo: np.ndar
     """(row, window start, least document) of windows that two documents at least have. Rows are contexts, sorted by h."""
     n = len(h)
     size = np.diff(w.first)
+    s = Suffixes(w, length)
     whole = mix(Rolling(w.hash, BASE2).of(w.first[:-1], w.first[1:]))
     # contexts that are alike in all words count once; the sort below compares their representatives with the others
     order = np.lexsort((doc, size, at - lo, whole, h))
@@ -178,7 +179,15 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, lo: np.ndar
     kind = np.empty(n, np.int64)
     kind[order] = np.cumsum(new) - 1
     rep = order[new]
-    least, most = doc[rep], doc[order[np.append(np.flatnonzero(new)[1:] - 1, n - 1)]] if n else doc[:0]
+    # equal hashes are no proof: those whose words differ from the representative's are kinds of their own
+    other = np.flatnonzero((rep[kind] != np.arange(n)) & (size > 0))
+    eq = s.word[ranges(w.first[:-1][other], size[other])] == s.word[ranges(w.first[:-1][rep[kind[other]]], size[other])]
+    odd = other[~np.logical_and.reduceat(eq, np.cumsum(size[other]) - size[other])] if len(other) else other
+    kind[odd] = len(rep) + np.arange(len(odd))
+    rep = np.concatenate([rep, odd])
+    least, most = np.full(len(rep), np.iinfo(np.int64).max), np.full(len(rep), np.iinfo(np.int64).min)
+    np.minimum.at(least, kind, doc)
+    np.maximum.at(most, kind, doc)
     m = (hi - lo + 1)[rep]
     owner = np.repeat(np.arange(len(rep)), m)  # kind of each suffix
     step = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
@@ -189,7 +198,6 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, lo: np.ndar
     if len(by) > 1:
         a, b = by[1:], by[:-1]
         group[1:] = np.cumsum((h[rep][owner][a] != h[rep][owner][b]) | (offset[a] != offset[b]))
-    s = Suffixes(w, length)
     srt = by[s.sort(pos[by], group)]
     # sort() keeps each suffix in its group's place
     same = s.repeats(pos[srt]) & (group[1:] == group[:-1]) if len(by) else np.zeros(0, bool)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from ._text import slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE vocabularies of this kind cut a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that is longer than this is cut off before the pattern runs, whose look-ahead needs stack for each of its characters.
+LONG_SPACE = 4096
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 CHUNK_BITS = 8
 #: Bits between entries of a rank directory.
 STRIDE = 512
@@ -29,6 +33,21 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("skein", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ids_of(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """Token ids of a text, special tokens being ordinary text.
+
+    White space before other text is one piece but for its last character, and one piece at the end of a text. Nothing before it looks at it,
+    so long white space is coded as that piece, and what lies between by the pattern: the ids are those of the whole text.
+    """
+    out: list[int] = []
+    at = 0
+    for m in SPACE.finditer(text):
+        out += enc.encode_ordinary(text[at : m.start()])
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc._encode_single_piece(text[m.start() : at])
+    return out + enc.encode_ordinary(text[at:])
+
+
 def encode(ids: np.ndarray, bits: int = CHUNK_BITS) -> bytes:
     """Directly addressable codes: the ids' lowest bits are level 0, the next those of the ids that have more, and so on.
 
@@ -104,7 +123,7 @@ def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY, bits: int = CHUNK
     """Token ids of each document's whole text: (doc_id, n_tokens, codes), codes being ``encode`` of its ids.
 
     Text of special tokens is ordinary text. The ids decode to the text's bytes exactly. A NULL text has NULL n_tokens and codes,
-    an empty one 0 tokens; repeated rows are coded each. vocabulary is the path of a rank file that every
+    an empty one 0 tokens; repeated rows are coded each. Texts may be of any length, and so may their white space. vocabulary is the path of a rank file that every
     executor can read. Other columns are not looked at. No shuffle.
     """
 
@@ -112,7 +131,7 @@ def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY, bits: int = CHUNK
         enc = encoding(vocabulary)
         for whole in batches:
             for batch in slices(whole):
-                ids = [None if t is None else enc.encode_ordinary(t) for t in batch.column(1).to_pylist()]
+                ids = [None if t is None else ids_of(enc, t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0),
                     "n_tokens": pa.array([None if x is None else len(x) for x in ids], pa.int64()),
@@ -120,15 +139,3 @@ def token_codes(docs: DataFrame, vocabulary: str = VOCABULARY, bits: int = CHUNK
                 })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, codes binary")
-
-
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens): as in ``token_codes``; a NULL text has 0 tokens."""
-
-    def run(batches):
-        enc = encoding(vocabulary)
-        for batch in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

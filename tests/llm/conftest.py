@@ -1,7 +1,11 @@
 import pyarrow as pa
 import pytest
+from hypothesis import settings
 from pyspark.sql import functions as F
 
+settings.register_profile("shared", deadline=None)  # the machine is shared
+settings.load_profile("shared")
+
 EXTRA = ["__gone", "__id", "__drop", "h", "h1", "rep", "key", "n", "at", "a.b", "n_tokens", "count"]
 
 
@@ -34,3 +38,11 @@ class Wide:
 
     def __getattr__(self, name):
         return getattr(self.table, name)
+
+
+def thue_morse(letters):
+    """A text of two letters and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    one = "a"
+    while len(one) < letters:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))

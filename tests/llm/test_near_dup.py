@@ -6,7 +6,7 @@ import pytest
 
 from skein.llm import near_dup as N
 
-from .conftest import Wide, got
+from .conftest import Wide, got, thue_morse
 
 
 def prose(rng, n, words=400):
@@ -76,6 +76,23 @@ def test_odd_rows(make, spark):
     assert sorted(map(str, (r.doc_id for r in left.collect()))) == ["1", "2", "3", "5", "7", "8", "8", "None"]
 
 
+def test_texts_of_equal_polynomial_hashes(make):
+    one, two = thue_morse(2048)
+    kinds = thue_morse(1024)
+    rows = [(1, one), (2, two), (3, " ".join("yes" if c == "a" else "no" for c in kinds[0])), (4, " ".join("yes" if c == "a" else "no" for c in kinds[1])), (5, one + " x y z"), (6, two.upper())]
+    assert got(N.near_duplicates(make(rows))) == brute(rows)
+    assert {i for i, g, _ in brute(rows) if g == 2} == {2, 6}
+
+
+def test_equal_hashes_are_confirmed_by_bytes(monkeypatch):
+    """With hashes that are all alike, components are still those of the shingles themselves."""
+    texts = ["a b c d e", "a b c d e f", "p q r s t", "p q r s t u", "x y"]
+    real = N.ngrams
+    monkeypatch.setattr(N, "ngrams", lambda w, n: (real(w, n)[0], np.arange(len(real(w, n)[1]), dtype=np.uint64) - np.repeat(np.searchsorted(real(w, n)[0], np.arange(w.n_docs)), np.bincount(real(w, n)[0], minlength=w.n_docs)).astype(np.uint64)))
+    sets = N.shingles_of(pa.array(texts), 3)
+    assert N.joined(sets, 0.5).tolist() == [0, 0, 1, 1, 2]
+
+
 def test_same_doc_id_with_two_texts(make):
     rows = [(1, "a b c d"), (2, "e f g h"), (3, "a b c d"), (3, "e f g h")]
     assert got(N.near_duplicates(make(rows)).select("doc_id", "group_id")) == [(1, 1), (2, 2), (3, 1), (3, 2)]
@@ -118,7 +135,7 @@ def test_components(spark):
 
 def test_a_component_of_several_chunks_is_compared_whole(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"root": [1] * 4, "doc_id": [1, 2, 3, 4], "text": ["a b c d", "e f g h", "a b c d", "e f g h"]})
-    monkeypatch.setattr(N, "runs", lambda batches, key: [Wide(batch.slice(0, 2), batch.slice(2))])
+    monkeypatch.setattr(N, "runs", lambda batches, key, **most: [Wide(batch.slice(0, 2), batch.slice(2))])
     out = pa.Table.from_batches(N._verified(3, 0.5)([])).to_pydict()
     assert out == {"node": [1, 2, 3, 4], "grp": [1, 2, 1, 2]}
 
