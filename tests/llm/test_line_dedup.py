@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from skein.llm import line_dedup as L
 
@@ -18,20 +20,23 @@ def brute(rows, min_docs=10, leading=4, similar=0.5):
         for line in t.split("\n"):
             line = line.strip(WHITE)
             if line:
-                w = re.split(r"[ \t\n\x0b\f\r]+", line)
-                leaves.setdefault((len(w), tuple(map(mask, w[:leading]))), {}).setdefault(line, set()).add(i)
+                w = tuple(map(mask, re.split(r"[ \t\n\x0b\f\r]+", line)))
+                leaves.setdefault((len(w), w[:leading]), {}).setdefault(w, {}).setdefault(line, set()).add(i)
     drop = {}
     for leaf in leaves.values():
         found = []
-        for line in sorted(leaf, key=str.encode):
-            w = list(map(mask, re.split(r"[ \t\n\x0b\f\r]+", line)))
+        # the order among kinds of equally many lines is that of their hashes
+        order = lambda x: (-sum(map(len, x[1].values())), int(L.lines_of(pa.array([next(iter(x[1]))])).kind.view(np.int64)[0]))
+        for w, lines in sorted(leaf.items(), key=order):
             for first, ids, members in found:
                 if sum(a == b for a, b in zip(first, w)) >= similar * len(w):
-                    ids |= leaf[line]
-                    members.append(line)
                     break
             else:
-                found.append((w, set(leaf[line]), [line]))
+                first, ids, members = w, set(), []
+                found.append((first, ids, members))
+            for line, own in lines.items():
+                ids |= own
+                members.append(line)
         for _, ids, members in found:
             if len(ids) >= min_docs:
                 for m in members:
@@ -45,6 +50,23 @@ def brute(rows, min_docs=10, leading=4, similar=0.5):
     return sorted(out, key=repr)
 
 
+def test_lines_are_hashed_as_spark_does(make, spark):
+    texts = ["x" * n + "é" for n in range(100)] + ["  a  b\t", "c d\r"]
+    want = [r[0] for r in make(texts).orderBy("doc_id").select(F.xxhash64(F.trim("text", F.lit(WHITE)))).collect()]
+    assert L.lines_of(pa.array(texts)).line.view(np.int64).tolist() == want
+    x = L.lines_of(pa.array(["a 1\n\n b 2\n", None, "", "\n", "a 7"]))
+    assert x.doc.tolist() == [0, 0, 4] and x.first.tolist() == [0, 2, 4, 6] and x.kind[0] == x.kind[2] != x.kind[1] and x.leaf[0] == x.leaf[2]
+
+
+def test_a_line_of_all_documents_is_no_task_of_its_own(make):
+    """Nothing is windowed by leaf or template, and counts are aggregated partially."""
+    rows = [(i, f"same here\nown{i} word\npage {i}") for i in range(40)]
+    drop = L.recurring_lines(make(rows))
+    plan = drop._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_count" in plan
+    assert drop.count() == 3 * 39
+
+
 def test_equals_brute_force(make):
     rng = random.Random(2)
     rows = []
@@ -81,7 +103,16 @@ def test_odd_rows(make):
 
 
 def test_a_leaf_of_several_chunks_is_clustered_whole(monkeypatch):
-    batch = pa.RecordBatch.from_pydict({"leaf": [7] * 4, "lh": [1, 2, 3, 4], "text": ["a b c d", "a b c x", "p q r s", "p q r t"]})
+    tokens = [np.array(x, np.uint64).tobytes() for x in ([1, 2, 3, 4], [1, 2, 3, 5], [6, 7, 8, 9], [6, 7, 8, 5])]
+    batch = pa.RecordBatch.from_pydict({"leaf": [7] * 4, "kind": [1, 2, 3, 4], "tokens": pa.array(tokens, pa.binary())})
     monkeypatch.setattr(L, "runs", lambda batches, key: [Wide(batch.slice(0, 1), batch.slice(1))])
     out = pa.Table.from_batches(L._clustered(0.5)([])).to_pydict()
-    assert out == {"leaf": [7] * 4, "lh": [1, 2, 3, 4], "template": [0, 0, 1, 1]}
+    assert out == {"leaf": [7] * 4, "kind": [1, 2, 3, 4], "template": [0, 0, 1, 1]}
+
+
+def test_the_query_equals_brute_force(spark):
+    from skein.llm.queries import op9_line_dedup
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(((r.doc_id, r.text) for r in op9_line_dedup(spark, sf).collect()), key=repr) == brute(rows)
