@@ -10,10 +10,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, floor string, shard string")
 
 
-def brute(ids, v, k):
+def brute(ids, v, k, asked=None):
     s = np.round(v.astype(np.float32).astype(np.float64) @ v.astype(np.float32).astype(np.float64).T, K.PLACES)
     out = []
     for i, a in enumerate(ids):
+        if asked is not None and a not in asked:
+            continue
         order = sorted((-s[i, j], b) for j, b in enumerate(ids) if j != i)[:k]
         out += [(a, b, -x, r + 1) for r, (x, b) in enumerate(order)]
     return sorted(out, key=repr)
@@ -28,6 +30,45 @@ def test_equals_brute_force(spark, shard):
     rows = [(i * 3, [float(x) for x in e], "x", "y", "z") for i, e in enumerate(v)]
     have = got(K.top_k(frame(spark, rows), k=7, shard=shard))
     assert have == brute([r[0] for r in rows], v, 7)
+    some = frame(spark, [r for r in rows if r[0] % 20 == 0])
+    for pivots in (4096, 3):
+        assert got(K.top_k(frame(spark, rows), some, k=7, shard=shard, most_pivots=pivots)) == brute([r[0] for r in rows], v, 7, {r[0] for r in rows if r[0] % 20 == 0})
+
+
+def test_a_third_of_all_vectors_alike(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 6)).round(2)
+    v[::3] = v[0]
+    rows = [(i, [float(x) for x in e], "x", "y", "z") for i, e in enumerate(v)]
+    assert got(K.top_k(frame(spark, rows), k=5, shard=20)) == brute(list(range(300)), v, 5)
+
+
+def test_the_query_equals_brute_force(spark):
+    from skein.llm.queries import op8_top_k
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows]), 10, {r.vec_id for r in rows if r.vec_id % 20 == 0})
+    have = got(op8_top_k(spark, sf))
+    assert [(a, b, r) for a, b, _, r in have] == [(a, b, r) for a, b, _, r in want] and np.allclose([x[2] for x in have], [x[2] for x in want], atol=1e-9)
+
+
+def test_many_ties_at_the_kth_score():
+    """Leaves full of equal scores: the least ids count."""
+    v = np.ones((1000, 3))
+    ids = np.random.default_rng(4).permutation(1000)
+    best = K.Best.none(4, 5)
+    K.search(K.build(v, ids), v[:4], np.array([0, 1, 2, 2000]), best, np.full(4, -np.inf))
+    assert best.id.tolist() == [[1, 2, 3, 4, 5], [0, 2, 3, 4, 5], [0, 1, 3, 4, 5], [0, 1, 2, 3, 4]]
+
+
+def test_the_kth_score_of_other_shards_prunes():
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(500, 4)) * 0.1 + c * 5 for c in rng.normal(size=(20, 4))])
+    tree, q = K.build(v, np.arange(len(v))), v[:50]
+    kth = np.sort(q @ v.T, axis=1)[:, -5]
+    one, two = (K.search(tree, q, np.arange(50), K.Best.none(50, 5), floor) for floor in (np.full(50, -np.inf), kth))
+    assert two <= one
 
 
 def test_search_prunes():
@@ -43,6 +84,15 @@ def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (2, [0.0, 1.0]), (8, [0.0, 0.0]), (9, [1.0, None])]
     have = got(K.top_k(frame(spark, [(i, v, "a", "b", "c") for i, v in rows]), k=5))
+    have = [r for r in have if r[0] != 7]  # alone of its length
     assert have == [(1, 2, 0.0, 1), (1, 8, 0.0, 2), (2, 1, 0.0, 1), (2, 8, 0.0, 2), (8, 1, 0.0, 1), (8, 2, 0.0, 2)]
     assert got(K.top_k(frame(spark, []))) == []
     assert got(K.top_k(frame(spark, [(1, [1.0], "a", "b", "c")]))) == []
+
+
+def test_lengths_and_overflow(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [-1e200, 0.0]), (4, [1.0, 1.0]), (5, [1.0, 2.0, 3.0]), (6, [3.0, 2.0, 1.0])]
+    have = got(K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3))
+    assert sorted((a, r, b) for a, b, _, r in have) == [(1, 1, 2), (1, 2, 4), (1, 3, 3), (2, 1, 1), (2, 2, 4), (2, 3, 3), (3, 1, 4), (3, 2, 1), (3, 3, 2), (4, 1, 1), (4, 2, 2), (4, 3, 3), (5, 1, 6), (6, 1, 5)]
+    assert [s for a, b, s, _ in have if {a, b} == {1, 2}] == [K.MOST] * 2 and [s for a, b, s, _ in have if {a, b} == {1, 3}] == [-K.MOST] * 2
+    assert [s for a, _, s, _ in have if a > 4] == [10.0, 10.0]
