@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import raw, slices
+from ._text import cut, raw, slices
 
 #: Labelled documents that the classifier is fitted on, at most, of each class: bad (toxic or poor), and good.
 MAX_TRAIN_ROWS = 2000
+#: Bytes of their texts, at most, of each class. A document that would exceed them is passed over, whole.
+MAX_TRAIN_BYTES = 16 << 20
 #: Fewest labelled documents of either class to fit on.
 MIN_TRAIN_ROWS = 10
 THRESHOLD = 0.5
@@ -124,8 +126,11 @@ def _grams(text: bytes, widths: tuple[int, ...]) -> np.ndarray:
 def _telling_grams(texts: list[bytes], bad: np.ndarray, most: int, widths: tuple[int, ...] = GRAMS) -> list[bytes]:
     """Byte grams to begin filters with: each next one covers the most bad texts that none has, with few good ones."""
     held = [_grams(t, widths) for t, b in zip(texts, bad) if b]
-    ids, count = np.unique(np.concatenate(held), return_counts=True)
-    ids = ids[count > 1]  # others can't be chosen
+    parts = []
+    for part in range(16):  # a part of all grams at a time is sorted
+        ids, count = np.unique(np.concatenate([g[(g >> 3) % 16 == part] for g in held]), return_counts=True)
+        parts.append(ids[count > 1])  # others can't be chosen
+    ids = np.sort(np.concatenate(parts))
     if not len(ids):
         return []
 
@@ -244,7 +249,8 @@ def bounds_of(owner: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(doc_id, bad, text) of documents with up to ``most`` labels of each kind, toxic, poor and good: those with the least hashes of doc_id.
+    """(doc_id, bad, text) of documents with up to ``most`` labels of each kind, toxic, poor and good: those with the least hashes of doc_id. A row for each doc_id,
+    with the least of its texts.
 
     bad: the labels' quality is below 1 or toxic above 0. Labels that repeat a doc_id are joined to the worse; labels that are NULL count as good in
     that respect, and documents without any are not used.
@@ -256,20 +262,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS
     for bad, kind in zip((True, True, False), kinds):
         part = kind.select("__id", F.lit(bad).alias("bad")).orderBy(F.xxhash64("__id"), "__id").limit(most)
         some = part if some is None else some.union(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     # at most 3 * most rows of two numbers: bounded by a parameter whatever the data
-    return texts.join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "bad", "text")
+    found = texts.join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
+    return found.groupBy("doc_id", "bad").agg(F.min("text").alias("text"))
+
+
+def _chosen(rows: list, most: int, most_bytes: int) -> list[int]:
+    """doc_ids of (doc_id, bytes) in the order of their hashes: as many as the bounds allow."""
+    out, held = [], 0
+    order = pd.util.hash_array(np.array([i for i, _ in rows], np.int64))
+    for k in np.lexsort((np.array([i for i, _ in rows]), order)) if rows else ():
+        i, size = rows[k]
+        if len(out) < most and held + size <= most_bytes:
+            out.append(i)
+            held += size
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS) -> Net | None:
-    """Network fitted on a bounded sample of labelled documents; None if either class has too few."""
-    rows = training_rows(docs, labels, most).toPandas()
-    rows = rows.assign(order=pd.util.hash_array(rows.doc_id.to_numpy(np.int64))).sort_values(["order", "text"])
-    rows = rows[rows.text.str.len() > 0]
-    rows = pd.concat([rows[rows.bad].head(most), rows[~rows.bad].head(most)])
-    if rows.bad.sum() < MIN_TRAIN_ROWS or (~rows.bad).sum() < MIN_TRAIN_ROWS:
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, most_bytes: int = MAX_TRAIN_BYTES) -> Net | None:
+    """Network fitted on a sample of labelled documents, of most documents and most_bytes bytes of each class at most; None if either class has too few."""
+    rows = cut(training_rows(docs, labels, most))
+    sizes = rows.select("doc_id", "bad", F.octet_length("text").alias("size")).collect()  # 3 * most rows of numbers at most
+    classes = [_chosen([(r.doc_id, r.size) for r in sizes if r.bad == bad], most, most_bytes) for bad in (True, False)]
+    if min(map(len, classes)) < MIN_TRAIN_ROWS:
         return None
-    return fit([t.encode() for t in rows.text], rows.bad.to_numpy(bool))
+    chosen = docs.sparkSession.createDataFrame([(i,) for c in classes for i in c], "id long")  # 2 * most rows at most
+    texts = {r.doc_id: r.text.encode() for r in rows.join(F.broadcast(chosen), rows.doc_id == chosen.id, "left_semi").select("doc_id", "text").toLocalIterator()}
+    return fit([texts.pop(i) for c in classes for i in c], np.repeat([True, False], [len(c) for c in classes]))
 
 
 def score(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -293,7 +313,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, ma
 
     Every document is scored, over all of its text: filters of a few bytes slide over overlapping chunks, each
     filter's greatest response in a chunk feeds a hidden layer, and the chunk that looks worst decides. The
-    network is fitted here on a bounded sample (max_train_rows documents of either class at most, whole) with a fixed seed, so the same tables give the same result.
+    network is fitted here on a bounded sample (max_train_rows documents of either class at most, whole, and MAX_TRAIN_BYTES of their texts) with a fixed seed, so the same tables give the same result.
 
     NULL and empty texts have p_good 0 and are not kept. Where either class has fewer than MIN_TRAIN_ROWS
     labelled documents nothing can be learned: p_good is 1 for all but those. Repeated rows are scored alike, each.

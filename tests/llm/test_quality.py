@@ -103,3 +103,32 @@ def test_sample_is_bounded(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     n = {r.bad: r.n for r in Q.training_rows(docs, labels, 10).groupBy("bad").agg(F.count("*").alias("n")).collect()}
     assert n[False] == 10 and 10 <= n[True] <= 20
+
+
+def test_repeated_labelled_documents_count_once(make, spark):
+    """A labelled doc_id that very many rows repeat is one row of the sample; bytes are bounded too."""
+    data = texts(5, 60)
+    docs = make([(i, t) for i, (t, _) in enumerate(data)] + [(0, data[0][0])] * 3000 + [(0, "zzz")] * 50 + [(1, "x " * 500_000)])
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, (_, b) in enumerate(data)], "doc_id long, quality int, toxic int")
+    rows = Q.training_rows(docs, labels).collect()
+    assert len(rows) == 60 and {r.doc_id: r.text for r in rows}[0] == min(data[0][0], "zzz")
+    assert Q._chosen([(i, 10) for i in range(50)], 20, 95) == Q._chosen([(i, 10) for i in range(50)], 9, 1000) and len(Q._chosen([(1, 99), (2, 5)], 5, 50)) == 1
+    assert Q.train(docs, labels, most_bytes=100) is None and Q.train(docs, labels, most=30) is not None
+
+
+def test_logits_equal_a_plain_network(net):
+    """Chunk after chunk, place after place, filter after filter."""
+    docs = [t for t, _ in texts(6, 4)] + ["é", "lorem " * 150 + "scumbag", ""]
+    code, conv = net.code.astype(np.float32), net.conv.astype(np.float32)
+    want = []
+    for d in map(str.encode, docs):
+        best = -np.inf
+        starts = [0] if len(d) <= Q.CHUNK else [min(s, len(d) - Q.CHUNK) for s in range(0, len(d) - Q.OVERLAP, Q.CHUNK - Q.OVERLAP)]
+        for s in starts if d else ():
+            c = np.frombuffer(d[s : s + Q.CHUNK].ljust(Q.CHUNK, b"\0"), np.uint8)
+            x = [max(0.0, max(float(code[c[p : p + Q.WIDTH]].ravel() @ conv[:, f]) for p in range(0, Q.CHUNK - Q.WIDTH + 1)) + net.b0[f]) for f in range(Q.FILTERS)]
+            x.append(min(1, (len(d) - s) / Q.CHUNK))
+            hidden = [max(0.0, sum(x[i] * net.w1[i, j] for i in range(len(x))) + net.b1[j]) for j in range(Q.HIDDEN)]
+            best = max(best, float(sum(h * w for h, w in zip(hidden, net.w2)) + net.b2[0]))
+        want.append(best)
+    assert np.allclose(logits(net, docs), want, atol=1e-3)
