@@ -85,7 +85,8 @@ def view64(a: np.ndarray) -> np.ndarray:
     return np.ndarray(len(a), "<u8", padded.tobytes(), strides=(1,))
 
 
-_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Masks of a number's lowest 0 to 8 bytes.
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     at = np.repeat(start, n) + (k << 3)
     left = np.minimum(np.repeat(end, n) - at, 8)
     number = mix(np.arange(1, int(n.max()) + 1, dtype=np.uint64) * np.uint64(BASE))
-    blocks = mix((view64(buf)[at] & _MASK[left]) ^ number[k])
+    blocks = mix((view64(buf)[at] & LOW_BYTES[left]) ^ number[k])
     return mix(np.add.reduceat(blocks, first) + size.astype(np.uint64) * np.uint64(BASE2))
 
 

@@ -8,7 +8,7 @@ from skein.llm import decontaminate as D
 from .conftest import got
 
 
-def brute(docs, items, passage=13, least=5):
+def brute(docs, items, passage=13, least=1):
     out = {}
     for item, text in items:
         w = text.encode().lower().split() if text is not None else []
@@ -45,15 +45,39 @@ def test_equals_brute_force(make, spark):
     assert got(D.contaminated(make(docs), bench(spark, items))) == brute(docs, items)
 
 
-def test_search_finds_every_occurrence():
+@pytest.mark.parametrize("sizes", [(5, 6, 7), (1, 2, 3, 20), (1,), (40, 41)])
+def test_search_finds_every_occurrence(sizes, monkeypatch):
     rng = random.Random(2)
-    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([5, 6, 7])))) for i in range(30)]
-    p = D.compile_patterns(items)
-    flat = (" " + " ".join(rng.choice("abcde") for _ in range(4000)) + " ").encode()
-    pos, pat = D.search(p, np.frombuffer(flat, np.uint8), lane=64)
-    strings = [p.body[a:b].tobytes() for a, b in zip(p.off, p.off[1:])]
-    want = {(i, j) for j, s in enumerate(strings) for i in range(len(flat)) if flat.startswith(s, i)}
-    assert set(zip(pos.tolist(), pat.tolist())) == want and len(pos) == len(want)
+    monkeypatch.setattr(D, "PAIRS", 50)
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice(sizes)))) for i in range(30)]
+    flat = (" " + " ".join([*(rng.choice("abcde") for _ in range(4000)), *(t for _, t in items)]) + " ").encode()
+    have, want = [], set()
+    for p in D.compile_patterns(items):
+        pos, pat = D.search(p, np.frombuffer(flat, np.uint8), lane=64)
+        strings = [p.body[a : a + n].tobytes() for a, n in zip(p.off, p.size)]
+        have += [(i, int(p.item[j]), strings[j]) for i, j in zip(pos.tolist(), pat.tolist())]
+        want |= {(i, int(p.item[j]), s) for j, s in enumerate(strings) for i in range(len(flat)) if flat.startswith(s, i)}
+    assert set(have) == want and len(have) == len(want)
+    assert {s for _, _, s in want} == {b" " + b" ".join(t.encode().split()[k : k + 13]) + b" " for _, t in items for k in range(max(1, len(t.split()) - 12))}
+
+
+def test_items_of_few_words(make, spark):
+    items = [(1, "a"), (2, "is it"), (3, "É"), (4, "one two three four"), (5, "no such"), (6, ".")]
+    docs = [(1, "a"), (2, "ba ab"), (3, "Is  IT?"), (4, "so is\nit"), (5, "É é"), (6, "zero one two three four five"), (7, "it is"), (8, " . ")]
+    want = [(1, 1, 1), (4, 2, 1), (5, 3, 1), (6, 4, 1), (8, 6, 1)]
+    assert got(D.contaminated(make(docs), bench(spark, items))) == want == brute(docs, items)
+    assert got(D.contaminated(make(docs), bench(spark, items), least=4)) == [(6, 4, 1)]
+
+
+def test_tables_are_small():
+    """Passages are places in one text, not copies of it."""
+    rng = random.Random(3)
+    words = [f"w{i}x" * (1 + i % 2) for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(words, k=500))) for i in range(600)]
+    size = sum(len(t) for _, t in items)
+    tables = D.compile_patterns(items)
+    table = sum(a.nbytes for p in tables for a in (p.off, p.size, p.item, p.keys, p.member)) + tables[-1].body.nbytes
+    assert size > 2 << 20 and table < 5.5 * size
 
 
 def test_words_must_be_whole(make, spark):
@@ -74,10 +98,10 @@ def test_odd_rows(make, spark):
     q = "one two three four five six"
     items = [(1, q), (1, q), (2, None), (None, q), (3, ""), (4, "too short"), (5, q)]
     docs = [(1, None), (2, ""), (3, "pad " * 100_000 + q), (None, q), (5, q), (5, q + " " + q)]
-    assert got(D.contaminated(make(docs, wide=True), bench(spark, items))) == [(3, 1, 1), (3, 5, 1), (5, 1, 1), (5, 5, 1)]
+    assert got(D.contaminated(make(docs, wide=True), bench(spark, items))) == [(3, 1, 1), (3, 5, 1), (5, 1, 1), (5, 5, 1)] == brute(docs, items)
     left = D.decontaminated(make(docs, wide=True), bench(spark, items))
     assert left.columns == make([], wide=True).columns and sorted(map(str, (r.doc_id for r in left.collect()))) == ["1", "2", "None"]
     assert got(D.contaminated(make([]), bench(spark, items))) == []
     assert got(D.contaminated(make(docs), bench(spark, []))) == []
     with pytest.raises(ValueError):
-        D.compile_patterns(items, least=2)
+        D.compile_patterns([(1, q)], passage=0)
