@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -29,13 +30,21 @@ EMPTY = {"", "null", "none", "nil", "true", "false", "undefined", "changeme", "c
 
 TOKEN = re.compile(
     r'''(?P<space>[^\S\n]+)|(?P<line>\n)
+    |(?P<element><(?:key|name)>[^<>"']*</(?:key|name)>\s*<(?:string|value)>[^<>]*</(?:string|value)>|<(?P<opened>[\w:.-]+)>[^<>]*</(?P=opened)\s*>)
     |(?P<string>"""(?:[^\\]|\\[\s\S])*?"""|(?<!\w)\'{3}(?:[^\\]|\\[\s\S])*?\'{3}
       |"(?:[^"\\\n]|\\.)*"|(?<!\w)'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)
+    |(?P<dash>(?<![^\s"'`,;(\[{])--?(?=[^\W\d]))
     |(?P<name>[^\W\d][\w\-]*(?:\.[^\W\d][\w\-]*)*)
     |(?P<op>===?|!==?|<=|>=|=>|:=|::|[=:+,;\[\](){}])
-    |(?P<other>[^\s"'`=:+,;\[\](){}]+|.)''',
+    |(?P<other>[^\s"'`=:+,;\[\](){}<]+|.)''',
     re.X,
 )
+#: Two elements side by side, of a name and its value, or one element of its name.
+ELEMENT = re.compile(r"<(?:key|name)>\s*(?P<key>[^<>]*?)\s*</(?:key|name)>\s*<(?:string|value)>\s*(?P<own>[^<>]*?)\s*</|<(?P<tag>[^<>]+)>\s*(?P<body>[^<>]*?)\s*</")
+#: Credentials in a URL.
+USERINFO = re.compile(r"(?<![\w+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'`<>]*:(?P<password>[^\s/@\"'`<>]+)@")
+#: Attributes that name the one that follows.
+NAMING = {"key", "name", "id"}
 #: An unquoted value goes on to the next white space or separator.
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 REFERENCE = re.compile(r"\$\{(\w+)\}|\$(\w+)|\{\{\s*(\w+)\s*\}\}")
@@ -44,6 +53,8 @@ SCHEMES = {"basic", "bearer", "token", "apikey", "api-key", "negotiate", "ntlm",
 SCHEME = re.compile(rf"\s*(?:{'|'.join(sorted(SCHEMES))})\s+(?=\S+\s*$)", re.I)
 #: name=value, as in digest credentials; not the padding of base64.
 PARAMETER = re.compile(r"[\w\-]+=[^=]")
+#: A quotation mark or backslash that is escaped.
+ESCAPE = re.compile(r"\\[\"'`\\]")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -87,28 +98,62 @@ def _unquote(s: str) -> str:
     return re.sub(r"\\(.)", r"\1", body) if "\\" in body else body
 
 
-def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth: int = 3) -> Iterator[tuple[str, str, int, bool, bool]]:
+class Inner:
+    """Text of a quoted string, a level of its escaped quotes being undone, and where its characters are in the whole text."""
+
+    def __init__(self, quoted: str, at: int, outer: Inner | None):
+        q = _quotes(quoted)
+        body = quoted[q:-q]
+        self.text, self.at, self.outer, self.shift = body, at + q, outer, None
+        if "\\" in body:
+            parts, shift, last = [], [], 0
+            for m in ESCAPE.finditer(body):
+                parts.append(body[last : m.start()])
+                last = m.end() - 1
+                shift.append(m.start() - len(shift))  # place, in the new text, of the character that was escaped
+            self.text, self.shift = "".join([*parts, body[last:]]), shift
+
+    def place(self, i: int) -> int:
+        i += self.at + (bisect.bisect_right(self.shift, i) if self.shift else 0)
+        return self.outer.place(i) if self.outer else i
+
+
+def pairs(text: str, known: dict[str, str] | None = None, inside: Inner | None = None) -> Iterator[tuple[str, str, int, bool, bool]]:
     """(name, literal, place, quoted, propagated) of the text's assignments.
 
     name = value, name := value, name: value, name => value, name: type = value, "name": value and table["name"] = value; what looks like a type may
     be the name, after a word of a log, and has the value if it's the more sensitive. Of a header's scheme and credentials, the latter are the value. Values are
     quoted or bare literals, sums of them, or names assigned before, whose literals are propagated, also into ${name}.
-    Quoted strings that hold assignments are read too.
+    <name>value</name>, <key>name</key><string>value</string> and key="name" value="value" are assignments too, and so is the password of a URL.
+    Quoted strings that hold assignments are read too, and what is quoted in them, escaped or not, to any depth: each level has fewer characters than the one around it.
     """
     known = {} if known is None else known
     t = _lex(text)
     n = len(t)
     i = 0
+    place_of = inside.place if inside else lambda x: x
+    nested = lambda s, at: pairs((x := Inner(s, at, inside)).text, known, x)
+    named = ""
+    for m in USERINFO.finditer(text) if inside is None and "://" in text else ():
+        yield "url.password", m["password"], m.start("password"), True, False
     while i < n:
         kind, s, at = t[i]
-        if kind == "string" and depth and ("=" in s or ":" in s):
-            yield from pairs(s[_quotes(s) : -_quotes(s)], known, base + at + _quotes(s), depth - 1)
+        if kind == "element":
+            m = ELEMENT.match(s)
+            key = "key" if m["key"] is not None else "tag"
+            value = "own" if key == "key" else "body"
+            known[m[key]] = m[value]
+            yield m[key], m[value], place_of(at + m.start(value)), True, False
+            i += 1
+            continue
+        if kind == "string" and ("=" in s or ":" in s):
+            yield from nested(s, at)
         name, j = None, i + 1
         if kind == "name":
             name = s
             if j + 2 < n and t[j][1] == "[" and t[j + 1][0] == "string" and t[j + 2][1] == "]":
                 name, j = f"{s}.{_unquote(t[j + 1][1])}", j + 3
-        elif kind == "string" and len(s) <= 102:
+        elif kind == "string":
             name = _unquote(s)
         if name is None or j >= n or t[j][1] not in ("=", ":=", ":", "=>"):
             i += 1
@@ -130,8 +175,8 @@ def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth:
                 skip = m.end() if not parts and name_score(name) > 0 and (m := SCHEME.match(body)) else 0
                 parts.append(REFERENCE.sub(lambda m: known.get(next(filter(None, m.groups())), m.group()), body[skip:]))
                 place, quoted = (va + q + skip if place < 0 else place), True
-                if depth and ("=" in v or ":" in v):
-                    yield from pairs(v[q:-q], known, base + va + q, depth - 1)
+                if "=" in v or ":" in v:
+                    yield from nested(v, va)
                 j += 1
             elif v[0] in "${" and (m := REFERENCE.match(text, va)) and (ref := next(filter(None, m.groups()))) in known:
                 parts.append(known[ref])
@@ -142,7 +187,7 @@ def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth:
                 parts.append(known[v])
                 place, moved = (va if place < 0 else place), True
                 j += 1
-            elif vk in ("name", "other") and (m := BARE.match(text, va)):
+            elif vk in ("name", "other", "dash") and (m := BARE.match(text, va)):
                 if j + 1 < n and t[j + 1][1] in ("(", "[", ".") and t[j + 1][2] == va + len(v):
                     parts = []  # a call or an index is no literal
                     break
@@ -166,7 +211,12 @@ def pairs(text: str, known: dict[str, str] | None = None, base: int = 0, depth:
             value = "".join(parts)
             known[name] = value
             known[name.rsplit(".", 1)[-1]] = value
-            yield name, value, base + place, quoted, moved
+            yield name, value, place_of(place), quoted, moved
+            if name.lower() in NAMING and quoted:
+                named = value
+            elif name.lower() == "value" and quoted and named:
+                yield named, value, place_of(place), True, moved
+                named = ""
         i = max(j, i + 1)
 
 
@@ -186,6 +236,7 @@ def secrets_of(text: str, least: float = LEAST) -> list[tuple[str | None, str, i
         if score >= least:
             out[name, value, at] = (name, value, at, round(score, 6), "propagated" if moved else "assigned")
             spans.append((at, at + len(value)))
+    spans.sort()
     for m in SHAPES.finditer(text):
         if not any(a <= m.start() < b for a, b in spans):
             out[None, m.group(), m.start()] = (None, m.group(), m.start(), 0.9, "shape")

@@ -1,3 +1,8 @@
+import re
+
+from hypothesis import given
+from hypothesis import strategies as st
+
 from skein.llm import secrets as S
 
 from .conftest import got
@@ -71,3 +76,52 @@ def test_triple_quoted_values():
             assert [(r[0], r[1], text[r[2] : r[2] + len(r[1])]) for r in S.secrets_of(text)] == [("token", body, body)]
         assert found(f"doc = {q}first\npassword: {KEY}\nlast{q}") == [("password", KEY, "assigned")]
     assert found(f'a = """ open\ntoken = "{KEY}"') == [("token", KEY, "assigned")]
+
+
+def test_markup_urls_and_escaped_json():
+    for text, name in (
+        (f"<password>{KEY}</password>", "password"), (f"<db><user>me</user>\n<DbPassword> {KEY} </DbPassword></db>", "DbPassword"), (f"<key>ApiToken</key>\n  <string>{KEY}</string>", "ApiToken"),
+        (f'<add key="ClientSecret" value="{KEY}" />', "ClientSecret"), (f"postgres://me:{KEY}@db.example:5432/x", "url.password"), (f'DATABASE = "redis://:{KEY}@h"', "url.password"),
+        ('{"a": "{\\"password\\": \\"' + KEY + '\\"}"}', "password"), ('{"a": "{\\"b\\": \\"{\\\\\\"token\\\\\\": \\\\\\"' + KEY + '\\\\\\"}\\"}"}', "token"),
+    ):
+        ((n, value, at, _, _),) = S.secrets_of(text)
+        assert (n, value, text[at : at + len(value)]) == (name, KEY, KEY), text
+    for text in ("<password></password>", "<p>token</p>", "http://a.example:80/x@y", "mailto:me@a.example", "postgres://me:${PW}@h", "<password>changeme</password>"):
+        assert found(text) == [], text
+
+
+def test_names_of_any_length_and_quotes_of_any_depth():
+    name = "x" * 500 + "_password"
+    assert found(f'{{"{name}": "{KEY}"}}') == [(name, KEY, "assigned")]
+    text = f"token = '{KEY}'"
+    for quote in ('"', "'", '"', "'", '"', '"'):
+        text = "x = " + quote + text.replace("\\", "\\\\").replace(quote, "\\" + quote) + quote
+    ((n, value, at, _, _),) = S.secrets_of(text)
+    assert (n, value, text[at : at + len(value)]) == ("token", KEY, KEY)
+
+
+NAMES = ["password", "DB_PASSWORD", "apiKey", "client-secret", "auth_token", "aws_secret_access_key", "privateKey"]
+FORMS = [
+    "{n} = '{v}'", '{n}="{v}"', "{n}: {v}", '"{n}": "{v}"', "'{n}' => '{v}'", "{n} := `{v}`", 'cfg["{n}"] = "{v}"', '{n} = """{v}"""', "<{n}>{v}</{n}>", "<key>{n}</key><string>{v}</string>", '<add key="{n}" value="{v}"/>',
+    "export {n}={v}", "--{n}={v}", '{{"{n}":"{v}","b":1}}', "f({n}='{v}', b=2)", 'x = "{n}={v}"', "{n}: str = '{v}'", "warning: {n} = '{v}'", 'half = "{v}"\n{n} = half', "{n} = '{h}' + '{t}'",
+]
+
+
+@given(st.sampled_from(FORMS), st.sampled_from(NAMES), st.text(alphabet="abcdefghjkmnpqrstuvwxyzABCDEFGH23456789", min_size=20, max_size=40).filter(lambda v: len(set(v)) > 9), st.sampled_from(["", "some words, here.\n", "a = 1\nb: 2\n", "é — (x)\n"]))
+def test_planted_forms_are_found(form, name, value, before):
+    text = before + form.format(n=name, v=value, h=value[:9], t=value[9:]) + "\nafter it"
+    assert [(n, v) for n, v, *_ in S.secrets_of(text)] == [(name if "[" not in form else "cfg." + name, value)]
+
+
+def test_the_query_equals_a_plain_scanner(spark):
+    """On the given documents, whose only form is name = "literal"; all else that is scored there has to be nothing."""
+    from skein.llm.queries import op1_secrets
+
+    sf = "/root/testdata/sf0.01"
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for m in re.finditer(r'(?<![\w.-])([A-Za-z_]\w*) *[=:] *"([^"\n]*)"', r.text or ""):
+            score = S.name_score(m[1]) * (0.3 + 0.7 * S.literal_score(m[2], True))
+            if score >= S.LEAST:
+                want.append((r.doc_id, m[1], m[2], m.start(2), round(score, 6), "assigned"))
+    assert want and got(op1_secrets(spark, sf)) == sorted(want, key=repr)
