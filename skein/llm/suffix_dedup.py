@@ -7,12 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import BASE2, Rolling, Words, bounds, mix, ranges, runs, sliced, words, words_sliced
+from ._text import BASE2, RUN_BYTES, SLICE, Rolling, Words, bounds, mix, normal, ranges, raw, sliced, slices, words, words_sliced
 
 #: Fewest words of a repeated passage: "over 50".
 MIN_WORDS = 51
 #: Words of an anchor, at most MIN_WORDS.
 ANCHOR = 24
+#: Different contexts of one anchor that are sorted in one task. Those of an anchor that has more go on window by window.
+MOST_KINDS = 8192
+#: Different contexts after which a table ends at the next anchor.
+LEAST_KINDS = 2000
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -63,19 +67,20 @@ def _anchors(length: int, k: int):
 
 
 def _contexts(length: int):
-    """Rows (doc_id, text, list of (h, at, lo, hi)) to a row for each of the list, with the words lo to hi + length."""
+    """Rows (doc_id, text, list of (h, at, lo, hi)) to a row for each of the list: the words lo to hi + length with single spaces, off = at - lo, m windows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = words(batch.column(1), hashed=False)
         lists = batch.column(2)
         doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         s = lists.flatten()
-        h, at, lo, hi = (s.field(i) for i in range(4))
-        first = w.first[:-1][doc] + lo.to_numpy()
-        last = w.first[:-1][doc] + hi.to_numpy() + length - 1
-        flat = w.buf.tobytes()
-        text = pa.array([flat[x:y] for x, y in zip(w.start[first].tolist(), w.end[last].tolist())], pa.binary())
-        return pa.RecordBatch.from_pydict({"h": h, "doc_id": batch.column(0).take(pa.array(doc)), "at": at, "lo": lo, "hi": hi, "ctx": text})
+        h, at, lo, hi = s.field(0), *(s.field(i).to_numpy() for i in (1, 2, 3))
+        first = w.first[:-1][doc] + lo
+        last = w.first[:-1][doc] + hi + length - 1
+        text, _, begin = normal(w)
+        flat = text.tobytes()
+        ctx = pa.array([flat[x:y] for x, y in zip(begin[first].tolist(), (begin + w.end - w.start)[last].tolist())], pa.binary())
+        return pa.RecordBatch.from_pydict({"h": h, "doc_id": batch.column(0).take(pa.array(doc)), "off": at - lo, "lo": lo, "m": hi - lo + 1, "ctx": ctx})
 
     return sliced(run)
 
@@ -164,82 +169,157 @@ class Suffixes:
         return same
 
 
-def repeated_windows(h: np.ndarray, doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: Words, length: int):
-    """(row, window start, least document) of windows that two documents at least have. Rows are contexts, sorted by h."""
-    n = len(h)
-    size = np.diff(w.first)
+def repeated_windows(h: np.ndarray, off: np.ndarray, m: np.ndarray, least: np.ndarray, most: np.ndarray, w: Words, length: int):
+    """(context, first window, last window, least document) of stretches of windows that two documents at least have.
+
+    Contexts are sorted by h and have different words or anchors. Each has m windows, the first of them off words
+    before the anchor, and is in documents from least to most.
+    """
     s = Suffixes(w, length)
-    whole = mix(Rolling(w.hash, BASE2).of(w.first[:-1], w.first[1:]))
-    # contexts that are alike in all words count once; the sort below compares their representatives with the others
-    order = np.lexsort((doc, size, at - lo, whole, h))
-    new = np.ones(n, bool)
-    if n > 1:
-        p, q = order[1:], order[:-1]
-        new[1:] = (h[p] != h[q]) | (whole[p] != whole[q]) | (size[p] != size[q]) | ((at - lo)[p] != (at - lo)[q])
-    kind = np.empty(n, np.int64)
-    kind[order] = np.cumsum(new) - 1
-    rep = order[new]
-    # equal hashes are no proof: those whose words differ from the representative's are kinds of their own
-    other = np.flatnonzero((rep[kind] != np.arange(n)) & (size > 0))
-    eq = s.word[ranges(w.first[:-1][other], size[other])] == s.word[ranges(w.first[:-1][rep[kind[other]]], size[other])]
-    odd = other[~np.logical_and.reduceat(eq, np.cumsum(size[other]) - size[other])] if len(other) else other
-    kind[odd] = len(rep) + np.arange(len(odd))
-    rep = np.concatenate([rep, odd])
-    least, most = np.full(len(rep), np.iinfo(np.int64).max), np.full(len(rep), np.iinfo(np.int64).min)
-    np.minimum.at(least, kind, doc)
-    np.maximum.at(most, kind, doc)
-    m = (hi - lo + 1)[rep]
-    owner = np.repeat(np.arange(len(rep)), m)  # kind of each suffix
+    owner = np.repeat(np.arange(len(h)), m)  # context of each suffix
     step = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-    pos = w.first[:-1][rep][owner] + step
-    offset = (at - lo)[rep][owner] - step
-    by = np.lexsort((offset, h[rep][owner]))
+    pos = w.first[:-1][owner] + step
+    offset = off[owner] - step
+    by = np.lexsort((offset, h[owner]))
     group = np.zeros(len(by), np.int64)
-    if len(by) > 1:
-        a, b = by[1:], by[:-1]
-        group[1:] = np.cumsum((h[rep][owner][a] != h[rep][owner][b]) | (offset[a] != offset[b]))
+    a, b = by[1:], by[:-1]
+    group[1:] = np.cumsum((h[owner][a] != h[owner][b]) | (offset[a] != offset[b]))
     srt = by[s.sort(pos[by], group)]
     # sort() keeps each suffix in its group's place
-    same = s.repeats(pos[srt]) & (group[1:] == group[:-1]) if len(by) else np.zeros(0, bool)
-    cls = np.concatenate([[0], np.cumsum(~same)]) if len(by) else np.zeros(0, np.int64)
-    first = np.full(cls[-1] + 1 if len(cls) else 0, np.iinfo(np.int64).max)
+    same = s.repeats(pos[srt]) & (group[1:] == group[:-1])
+    cls = np.concatenate([[0], np.cumsum(~same)])
+    first = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
     last = np.full(len(first), np.iinfo(np.int64).min)
     np.minimum.at(first, cls, least[owner[srt]])
     np.maximum.at(last, cls, most[owner[srt]])
     hit = np.empty(len(by), bool)
     low = np.empty(len(by), np.int64)
     hit[srt], low[srt] = (first < last)[cls], first[cls]
-    # back to each context of a kind
-    begin = np.cumsum(m) - m
-    row = np.repeat(np.arange(n), m[kind])
-    suffix = ranges(begin[kind], m[kind])
-    ok = hit[suffix]
-    row, suffix = row[ok], suffix[ok]
-    return row, lo[row] + step[suffix], low[suffix]
+    owner, step, low = owner[hit], step[hit], low[hit]
+    # consecutive windows of a context become one stretch
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (step[1:] != step[:-1] + 1)
+    b = np.append(np.flatnonzero(new), len(owner))
+    return owner[b[:-1]], step[b[:-1]], step[b[1:] - 1], np.minimum.reduceat(low, b[:-1]) if len(low) else low
+
+
+class Rows:
+    """Contexts sorted by h, off and words. Of those that are alike in all three only the first's words are kept; the rows have 13 bytes each."""
+
+    def __init__(self, batch: pa.RecordBatch, new: np.ndarray):
+        c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        self.new, self.doc, self.lo = new, c["doc_id"].to_numpy().copy(), c["lo"].to_numpy().copy()
+        kept = pa.array(np.flatnonzero(new))
+        self.ctx = c["ctx"].take(kept)
+        self.h, self.off, self.m = (c[x].take(kept).to_numpy() for x in ("h", "off", "m"))
+
+    @property
+    def size(self) -> np.ndarray:
+        """Different contexts and their bytes."""
+        return np.array([len(self.h), len(raw(self.ctx)[0])])
+
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        """All of parts, which follow one another."""
+        out = cls.__new__(cls)
+        for x in ("new", "doc", "lo", "h", "off", "m"):
+            setattr(out, x, np.concatenate([getattr(p, x) for p in parts]))
+        out.ctx = pa.chunked_array([p.ctx for p in parts]).combine_chunks()
+        return out
+
+    def spans(self, length: int):
+        """Stretches of each row's windows that two documents at least have."""
+        first = np.flatnonzero(self.new)
+        w = words_sliced(self.ctx)
+        kind, x, y, low = repeated_windows(self.h, self.off.astype(np.int64), self.m.astype(np.int64), np.minimum.reduceat(self.doc, first), np.maximum.reduceat(self.doc, first), w, length)
+        n = np.bincount(kind, minlength=len(first))
+        begin = np.cumsum(n) - n
+        before = 0
+        for i in range(0, len(self.doc), SLICE):
+            doc, lo, new = (z[i : i + SLICE] for z in (self.doc, self.lo, self.new))
+            of = before + np.cumsum(new) - 1
+            before = of[-1] + 1
+            at = ranges(begin[of], n[of])
+            if len(at):
+                lo = np.repeat(lo.astype(np.int64), n[of])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n[of])), pa.array(lo + x[at]), pa.array(lo + y[at] + length), pa.array(low[at]), pa.nulls(len(at), pa.binary())], SPAN)
+
+    def windows(self, length: int):
+        """Each window of each row, with its words."""
+        w = words(self.ctx, lower=False, hashed=False)
+        flat = w.buf.tobytes()
+        of = np.cumsum(self.new) - 1
+        rows = np.cumsum(self.m[of] * np.diff(raw(self.ctx)[1])[of]) // SLICE
+        b = bounds(rows)
+        for i, j in zip(b[:-1], b[1:]):
+            m = self.m[of[i:j]]
+            step = ranges(np.zeros(j - i, np.int64), m)
+            at = np.repeat(w.first[:-1][of[i:j]], m) + step
+            start = np.repeat(self.lo[i:j].astype(np.int64), m) + step
+            doc = np.repeat(self.doc[i:j], m)
+            x, y = w.start[at], w.end[at + length - 1]
+            c = bounds(np.cumsum(y - x) // SLICE)
+            for p, q in zip(c[:-1], c[1:]):
+                text = pa.array([flat[u:v] for u, v in zip(x[p:q].tolist(), y[p:q].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p:q]), pa.array(start[p:q]), pa.array(start[p:q] + length), pa.nulls(q - p, pa.int64()), text], SPAN)
+
 
+SPAN = ["doc_id", "start", "end", "low", "words"]
+
+
+def _sorted(length: int, most_kinds: int = MOST_KINDS):
+    """Contexts sorted by h, off and words to stretches that repeat, and to the single windows of anchors with too many different contexts.
+
+    Memory: the words of LEAST_KINDS + most_kinds contexts, or RUN_BYTES of them, and 13 bytes for each row of an anchor.
+    """
 
-def _sorted(length: int):
     def run(batches):
-        for t in runs(batches, "h"):
-            c = {n: t.column(n).combine_chunks() for n in t.column_names}
-            h, doc = c["h"].to_numpy(), c["doc_id"].to_numpy()
-            at, lo, hi = (c[x].to_numpy().astype(np.int64) for x in ("at", "lo", "hi"))
-            w = words_sliced(c["ctx"])
-            row, start, low = repeated_windows(h, doc, at, lo, hi, w, length)
-            if not len(row):
-                continue
-            # consecutive windows of a context become one span
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-            b = np.append(np.flatnonzero(new), len(row))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": doc[row[b[:-1]]], "start": start[b[:-1]], "end": start[b[1:] - 1] + length, "low": np.minimum.reduceat(low, b[:-1]),
-            })
+        done: list[Rows] = []  # whole anchors
+        last: list[Rows] = []  # the last anchor so far
+        n_done = n_last = np.zeros(2, np.int64)  # their contexts and bytes
+        key = off = None
+        before = b""
+        parted = False
+        for batch in batches:
+            for part in slices(batch, "ctx"):
+                h, o = part.column(0).to_numpy(), part.column(2).to_numpy()
+                body, at = raw(part.column(5))
+                size = np.diff(at)
+                new = np.ones(len(h), bool)
+                i = 1 + np.flatnonzero((h[1:] == h[:-1]) & (o[1:] == o[:-1]) & (size[1:] == size[:-1]))
+                if len(i):
+                    eq = body[ranges(at[i], size[i])] == body[ranges(at[i - 1], size[i])]
+                    new[i] = ~np.logical_and.reduceat(eq, np.cumsum(size[i]) - size[i])
+                head = int(np.searchsorted(h, key, "right")) if key is not None and h[0] == key else 0
+                if head and not parted:
+                    new[0] = o[0] != off or body[: at[1]].tobytes() != before
+                    last.append(Rows(part.slice(0, head), new[:head]))
+                    n_last = n_last + last[-1].size
+                    if n_last[0] > most_kinds or n_last[1] > RUN_BYTES:
+                        yield from Rows.joined(last).windows(length)
+                        last, n_last, parted = [], n_last * 0, True
+                elif head:
+                    yield from Rows(part.slice(0, head), new[:head]).windows(length)
+                if head < len(h):
+                    cut = int(bounds(h)[-2])
+                    done += last
+                    n_done = n_done + n_last
+                    if cut > head:
+                        done.append(Rows(part.slice(head, cut - head), new[head:cut]))
+                        n_done = n_done + done[-1].size
+                    if n_done[0] >= LEAST_KINDS or n_done[1] >= RUN_BYTES:
+                        yield from Rows.joined(done).spans(length)
+                        done, n_done = [], n_done * 0
+                    last, parted = [Rows(part.slice(cut), new[cut:])], False
+                    n_last = last[0].size
+                key, off, before = h[-1], o[-1], body[at[-2] :].tobytes()
+        if done or last:
+            yield from Rows.joined(done + last).spans(length)
 
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR, most_kinds: int = MOST_KINDS) -> DataFrame:
     """Passages of at least min_words words that two documents or more have: (doc_id, start_word, end_word, first_doc).
 
     A row for each maximal stretch of a document's words in which every word lies in a window of min_words
@@ -249,10 +329,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
 
     Steps: (1) each window chooses an anchor, the k-gram of words with the least hash, so that equal windows
     have equal anchors; only anchors' hashes are shuffled. (2) Anchors that one document alone has are
-    dropped. (3) The words around each anchor that is left meet by its hash; the suffixes that begin at the
-    windows are sorted there, to the depth of a window, by comparing hashes of common extensions, and
-    neighbours in that order are compared word by word. (4) Windows join to passages. Every document, word
-    and window takes part; equal windows always have the same anchor, so the result is exact.
+    dropped. (3) The words around each anchor that is left meet by its hash, sorted, so that of equal ones, which
+    are compared byte by byte, one is kept. The suffixes that begin at the windows are sorted there, to the depth
+    of a window, by comparing hashes of common extensions, and neighbours in that order are compared word by
+    word. (4) Where an anchor has more than most_kinds different surroundings, its windows go on one by one and
+    meet by all their words. (5) Windows join to passages. Every document, word and window takes part; equal windows always
+    have the same anchor, and all windows of an anchor go the same way, so the result is exact for any most_kinds.
 
     NULL and empty texts, and texts shorter than min_words, have no rows, nor do rows with a NULL doc_id.
     Repeats within one document only, or between rows that repeat a doc_id, don't count. Other columns are not looked at.
@@ -264,8 +346,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
     w = Window.partitionBy("h")
     shared = found.select("*", F.min("doc_id").over(w).alias("x"), F.max("doc_id").over(w).alias("y")).where("x <> y")
     lists = shared.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "lo", "hi")).alias("found"))
-    ctx = docs.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(min_words), "h long, doc_id long, at int, lo int, hi int, ctx binary")
-    spans = ctx.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted(min_words), "doc_id long, start long, end long, low long")
+    ctx = docs.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(min_words), "h long, doc_id long, off int, lo int, m int, ctx binary")
+    spans = ctx.repartition("h").sortWithinPartitions("h", "off", "ctx").mapInArrow(_sorted(min_words, most_kinds), "doc_id long, start long, end long, low long, words binary")
+    # stretches are done and only pass through, spread by doc_id
+    w = Window.partitionBy("words", F.when(F.col("words").isNull(), F.col("doc_id")))
+    spans = spans.select("doc_id", "start", "end", F.coalesce("low", F.min("doc_id").over(w)).alias("low"), F.max("doc_id").over(w).alias("y"), "words").where("words is null or low <> y").drop("y", "words")
     o = Window.partitionBy("doc_id").orderBy("start", "end")
     spans = spans.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     spans = spans.withColumn("no", F.sum(F.col("new").cast("int")).over(o.rowsBetween(Window.unboundedPreceding, 0)))
