@@ -44,9 +44,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def normal(word: Column) -> Column:
+    """The token of a word; ASCII has no accents, and most words are that."""
+    return F.when(is_ascii(word), F.lower(word)).otherwise(fold(F.lower(word)))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens without accents, in order; their places in the array are their positions."""
-    return F.transform(words(text), lambda w: fold(F.lower(w)))
+    return F.when(is_ascii(text), words(F.lower(text))).otherwise(F.transform(words(text), normal))
 
 
 def keyword(value: Column) -> Column:

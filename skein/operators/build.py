@@ -23,11 +23,28 @@ def column(f: Field) -> Column:
 
 def analysed(docs: DataFrame, fields: Iterable[Field]) -> DataFrame:
     """(segment_id, doc_id, field, tokens): a row for each document and field that it has."""
+    fields = list(fields)
     each = [F.struct(F.lit(f.name).alias("field"), (tokens(column(f)) if f.type == TEXT else F.when(column(f).isNotNull(), F.array(keyword(column(f))))).alias("tokens")) for f in fields]
     if not each:
         return docs.select("segment_id", "doc_id", F.lit("").alias("field"), F.array().cast("array<string>").alias("tokens")).where(F.lit(False))
-    one = F.explode(F.array(*each)).alias("x") if len(each) > 1 else each[0].alias("x")
-    return docs.select("segment_id", "doc_id", one).select("segment_id", "doc_id", "x.field", "x.tokens").where("tokens is not null")
+    if len(each) == 1:  # a filter on the tokens would make them once more
+        (only,) = fields
+        return docs.where(column(only).isNotNull()).select("segment_id", "doc_id", each[0].alias("x")).select("segment_id", "doc_id", "x.field", "x.tokens")
+    return docs.select("segment_id", "doc_id", F.explode(F.array(*each)).alias("x")).select("segment_id", "doc_id", "x.field", "x.tokens").where("tokens is not null")
+
+
+def grouped(placed: Column) -> Column:
+    """Array of (term, positions), by term, of an array of (term, position): sorted, and cut where the term changes, so that a
+    document's tokens meet without an exchange."""
+    term = lambda x, i: F.get(x, i)["term"]
+
+    def cut(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (term(x, i) != term(x, i - 1)))
+        both = F.array(F.struct(x["position"].alias("position"), starts.alias("starts")))
+        return F.element_at(F.transform(both, lambda b: F.transform(b["starts"], lambda i, k: F.struct(term(x, i).alias("term"), F.slice(b["position"], i + 1, F.coalesce(F.get(b["starts"], k + 1), F.size(x)) - i).alias("positions")))), 1)
+
+    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
+    return F.element_at(F.transform(F.array(F.sort_array(placed)), lambda x: F.when(F.size(x) > 0, cut(x)).otherwise(none)), 1)
 
 
 def postings(docs: DataFrame, schema: IndexSchema) -> DataFrame:
@@ -50,5 +67,10 @@ def field_stats(docs: DataFrame, schema: IndexSchema) -> DataFrame:
     """
     lengths = analysed(docs, schema.indexed()).select("segment_id", "doc_id", "field", F.size("tokens").cast("long").alias("doclen"))
     per = lengths.groupBy("segment_id", "field").agg(F.sum("doclen").alias("sum_doclen"), (F.max("doc_id") + 1).cast("long").alias("n_doclen"))
+    return with_sizes(per, docs)
+
+
+def with_sizes(per: DataFrame, docs: DataFrame) -> DataFrame:
+    """Field statistics of the sums of each segment and field."""
     size = docs.groupBy("segment_id").agg(F.count("*").alias("n_docs"))
     return per.join(size, "segment_id").select("segment_id", "field", "n_docs", "sum_doclen", "n_doclen", average_length(F.col("sum_doclen"), F.col("n_doclen")).alias("avgdl"))

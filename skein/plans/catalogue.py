@@ -89,7 +89,7 @@ SELECT nfc_normalize(strip_accents(lower(x))) AS term, CAST(sum(p) AS BIGINT) AS
     )
     out["doclens"] = Entry(lambda spark, d: build.analysed(documents(spark, d).docs(), SCHEMA.indexed()).select("segment_id", "field", "doc_id", F.size("tokens").alias("doclen")), f"WITH {o.index()} SELECT seg AS segment_id, field, doc_id, CAST(len(ts) AS INTEGER) AS doclen FROM lens")
     out["field_stats"] = Entry(lambda spark, d: build.field_stats(documents(spark, d).docs(), SCHEMA), f"WITH {o.index()} SELECT seg AS segment_id, field, n AS n_docs, sum_dl AS sum_doclen, n_dl AS n_doclen, avgdl FROM st")
-    out["term_df"] = Entry(lambda spark, d: documents(spark, d).term_df(F.lit(True)), f"WITH {o.index()} SELECT seg AS segment_id, field, term, df FROM df")
+    out["term_df"] = Entry(lambda spark, d: documents(spark, d).term_df(), f"WITH {o.index()} SELECT seg AS segment_id, field, term, df FROM df")
 
     # leaves
     out["match_single"] = Entry(every(match("text", "the")), o.query([a], ["a"], "has(a)", "sc(a)"))
