@@ -49,9 +49,9 @@ def grouped(placed: Column) -> Column:
 
 def postings(docs: DataFrame, schema: IndexSchema) -> DataFrame:
     """(segment_id, field, term, doc_id, positions, doclen): a row for each term of each document."""
-    flat = analysed(docs, schema.indexed()).select("segment_id", "doc_id", "field", F.size("tokens").alias("doclen"), F.posexplode("tokens").alias("position", "term"))
-    grouped = flat.groupBy("segment_id", "field", "term", "doc_id").agg(F.sort_array(F.collect_list("position")).alias("positions"), F.first("doclen").alias("doclen"))
-    return grouped.select("segment_id", "field", "term", "doc_id", "positions", "doclen")
+    placed = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    rows = analysed(docs, schema.indexed()).select("segment_id", "doc_id", "field", F.size("tokens").alias("doclen"), F.explode(grouped(placed)).alias("t"))
+    return rows.select("segment_id", "field", "t.term", "doc_id", "t.positions", "doclen")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:

@@ -36,3 +36,22 @@ def test_the_rarest_term_of_a_prefix_counts(spark, monkeypatch, often):
     rarest = {i: min(df[w] for w in d.split()) for i, d in enumerate(docs) if d}
     one = {n: search(view, prefix("text", next(w for w in df if df[w] == n))).matched.first().score for n in set(rarest.values())}
     assert got == pytest.approx({i: one[n] for i, n in rarest.items()})
+
+
+def test_postings_are_made_without_an_exchange(spark):
+    lines = ran(catalogue.queries()["postings_positions"](spark, SF))
+    assert not any("Exchange" in x for x in lines) and analyses(lines) == 1
+
+
+def test_positions_meet_in_any_order_of_terms(spark):
+    from skein.operators import build
+
+    docs = ["b a b a a", "", "é e É", None, "x", "w " * 3000 + "v " + "w"]
+    rows = spark.createDataFrame([("0", i, d) for i, d in enumerate(docs)], "segment_id string, doc_id long, f_text string")
+    got = {(r.doc_id, r.term): (r.positions, r.doclen) for r in build.postings(rows, IndexSchema.of(text="text")).collect()}
+    want = {}
+    for i, d in enumerate(docs):
+        ws = (d or "").replace("é", "e").replace("É", "e").split()
+        for w in ws:
+            want[i, w] = ([p for p, x in enumerate(ws) if x == w], len(ws))
+    assert got == want
