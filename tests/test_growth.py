@@ -55,3 +55,58 @@ def test_positions_meet_in_any_order_of_terms(spark):
         for w in ws:
             want[i, w] = ([p for p, x in enumerate(ws) if x == w], len(ws))
     assert got == want
+
+
+def shuffled(spark):
+    """Bytes written for exchanges so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+@pytest.fixture
+def noise(spark, tmp_path):
+    """An index of eight segments and the bytes of its texts, which don't compress."""
+    import json
+    import random
+
+    from skein.operators.store import Index
+
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(20_000)) for _ in range(40)]
+    index = Index.create(spark, str(tmp_path / "noise"), IndexSchema.of(text="text", n="i64"))
+    before = shuffled(spark)
+    for i in range(4):
+        mine = [(json.dumps({"text": t, "n": n}),) for n, t in enumerate(texts) if n % 4 == i]
+        index.add(spark.createDataFrame(mine, "source string").repartition(2), batch=f"b{i}")
+    return index, sum(map(len, texts)), shuffled(spark) - before
+
+
+def test_an_ingest_moves_no_postings(noise):
+    """Beside the rows that the test deals out and the documents, dealt out again to few files' tasks, only frequencies move."""
+    _, size, moved = noise
+    assert moved < 4 * size
+
+
+def test_a_merge_moves_texts_once(spark, noise):
+    index, size, _ = noise
+    index.delete("text:a")
+    gone, before = index.search(None).total.first()[0], shuffled(spark)
+    assert index.compact()
+    assert shuffled(spark) - before < 3 * size and index.search(None).total.first()[0] == gone
+    (merged,) = index.manifest().active()
+    assert sorted(r.doc_id for r in index.view().docs().collect()) == list(range(merged.doc_count))
+
+
+def test_numbers_of_a_merge_are_dense_over_blocks(spark, tmp_path, monkeypatch):
+    import json
+
+    from skein.operators import store
+
+    monkeypatch.setattr(store, "BLOCK", 3)
+    index = store.Index.create(spark, str(tmp_path / "blocks"), IndexSchema.of(text="text", n="i64"))
+    for i in range(4):
+        index.add(spark.createDataFrame([(json.dumps({"text": f"w{n % 2}", "n": 10 * i + n}),) for n in range(10)], "source string").coalesce(1), batch=f"b{i}")
+    index.delete("w1")
+    assert index.compact()
+    got = [r.f_n for r in index.view().docs().orderBy("doc_id").collect()]
+    assert len(got) == 20 and all(got[k : k + 5] == sorted(got[k : k + 5]) and len({n // 10 for n in got[k : k + 5]}) == 1 for k in range(0, 20, 5))
+    assert [r.doc_id for r in index.view().docs().orderBy("doc_id").collect()] == list(range(20))
