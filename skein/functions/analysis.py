@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A token is a longest run of letters and decimal digits; combining marks and underscores separate.
-WORD = r"([\p{L}\p{Nd}]+)"
+#: A token is a longest run of letters and decimal digits (ASCII's are named too, for speed); combining marks and underscores separate.
+WORD = r"([a-zA-Z0-9\p{L}\p{Nd}]+)"
 #: Words whose offsets are summed together.
-BLOCK = 128
+BLOCK = 8
 
 
 @functools.cache
@@ -68,34 +68,48 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def token_offsets(text: Column) -> Column:
-    """Array of (term, position, start, end): start and end are byte offsets in UTF-8.
+def _sums(numbers: Column, levels: int = 6) -> Column:
+    """For each of an array of whole numbers, the sum of those before it.
 
-    Sums run through blocks of words, whose results are joined at the end, so long texts take no
-    longer for each word than short ones.
+    Blocks are summed first, then what comes before each block, then within blocks, where all sums are written out: appending
+    to an array copies it, so that only the sums of BLOCK ** levels numbers each are appended to one.
     """
-    gaps = F.regexp_extract_all(text, F.lit(r"([^\p{L}\p{Nd}]*)([\p{L}\p{Nd}]+)"), F.lit(1))
-    both = F.zip_with(gaps, words(text), lambda gap, w: F.struct(F.octet_length(gap).alias("gap"), F.octet_length(w).alias("len"), w.alias("word")))
-    kind = "array<struct<term:string,position:int,start:int,end:int>>"
+    zero = F.lit(0)
+
+    def some(block: Column) -> list[Column]:
+        return [F.coalesce(F.get(block, F.lit(i)), zero) for i in range(BLOCK)]
+
+    def within(block: Column, first: Column) -> Column:
+        parts = some(block)
+        return F.slice(F.array(*[functools.reduce(Column.__add__, parts[:i], first) for i in range(BLOCK)]), 1, F.greatest(F.size(block), zero))
+
+    def blocks(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+        cut = F.transform(F.sequence(zero, last), lambda i: F.slice(xs, i * BLOCK + 1, BLOCK))
+        sums = lambda bs: _sums(F.transform(bs, lambda b: functools.reduce(Column.__add__, some(b))), levels - 1)
+        return _let(cut, lambda bs: F.flatten(F.zip_with(bs, sums(bs), within)))
 
-    def one(first: Column):
-        def add(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            token = F.struct(fold(F.lower(x["word"])).alias("term"), (first + F.size(acc["out"])).alias("position"), start.alias("start"), (start + x["len"]).alias("end"))
-            return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], F.array(token)).alias("out"))
+    if not levels:
+        return _let(numbers, lambda xs: F.slice(F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 1, F.size(xs)))
+    return _let(numbers, lambda xs: F.when(F.size(xs) > BLOCK, blocks(xs)).otherwise(within(xs, zero)))
+
+
+def token_offsets(text: Column) -> Column:
+    """Array of (term, position, start, end): start and end are byte offsets in UTF-8."""
+    gaps = F.regexp_extract_all(text, F.lit(r"([^a-zA-Z0-9\p{L}\p{Nd}]*)([a-zA-Z0-9\p{L}\p{Nd}]+)"), F.lit(1))
+    both = F.zip_with(gaps, words(text), lambda gap, w: F.struct(F.octet_length(gap).alias("gap"), F.octet_length(w).alias("len"), normal(w).alias("term")))
 
-        return add
+    def placed(xs: Column) -> Column:
+        def token(before: Column) -> Callable[[Column, Column], Column]:
+            def made(x: Column, i: Column) -> Column:
+                start = F.get(before, i) + x["gap"]
+                return F.struct(x["term"].alias("term"), i.alias("position"), start.alias("start"), (start + x["len"]).alias("end"))
 
-    def blocks(all_: Column) -> Column:
-        def block(acc: Column, i: Column) -> Column:
-            made = F.aggregate(F.slice(all_, i * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), one(i * BLOCK))
-            return _let(made, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")))
+            return made
 
-        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-        return F.when(F.size(all_) > 0, F.flatten(F.aggregate(F.sequence(F.lit(0), last), start, block)["out"])).when(all_.isNotNull(), F.array().cast(kind))
+        return _let(_sums(F.transform(xs, lambda x: x["gap"] + x["len"])), lambda before: F.transform(xs, token(before)))
 
-    return _let(both, blocks)
+    return _let(both, placed)
 
 
 def analyse(text: str) -> list[str]:

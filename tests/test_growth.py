@@ -110,3 +110,27 @@ def test_numbers_of_a_merge_are_dense_over_blocks(spark, tmp_path, monkeypatch):
     got = [r.f_n for r in index.view().docs().orderBy("doc_id").collect()]
     assert len(got) == 20 and all(got[k : k + 5] == sorted(got[k : k + 5]) and len({n // 10 for n in got[k : k + 5]}) == 1 for k in range(0, 20, 5))
     assert [r.doc_id for r in index.view().docs().orderBy("doc_id").collect()] == list(range(20))
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2, 6])
+def test_sums_are_exact_at_every_level(spark, levels):
+    from itertools import accumulate
+
+    from pyspark.sql import functions as F
+
+    from skein.functions import analysis
+
+    lists = [[(i * 7) % 11 for i in range(n)] for n in (0, 1, 7, 8, 9, 63, 64, 65, 512, 513, 5000)] + [None]
+    df = spark.createDataFrame([(x,) for x in lists], "xs array<int>")
+    got = [r[0] for r in df.select(F.when(F.col("xs").isNotNull(), analysis._sums(F.col("xs"), levels))).collect()]
+    assert got == [None if x is None else list(accumulate(x, initial=0))[:-1] for x in lists]
+
+
+def test_offsets_of_any_length_copy_no_tokens(spark):
+    """No array of tokens is appended to: of the plan's arrays that are, there is the one of the last level's numbers."""
+    from pyspark.sql import functions as F
+
+    from skein.functions.analysis import token_offsets
+
+    plan = spark.createDataFrame([("a b",)], "t string").select(token_offsets(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "concat(" not in plan or all("term" not in x[:200] for x in plan.split("concat(")[1:])
