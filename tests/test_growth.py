@@ -134,3 +134,21 @@ def test_offsets_of_any_length_copy_no_tokens(spark):
 
     plan = spark.createDataFrame([("a b",)], "t string").select(token_offsets(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert "concat(" not in plan or all("term" not in x[:200] for x in plan.split("concat(")[1:])
+
+
+def test_one_segment_keeps_the_order_over_tasks(spark, tmp_path):
+    """Sorted rows of several partitions become one segment, written by several tasks, in their order."""
+    import json
+
+    from skein.operators.store import Index
+
+    index = Index.create(spark, str(tmp_path / "one"), IndexSchema.of(n="i64"))
+    rows = spark.createDataFrame([(json.dumps({"n": n}), n) for n in range(200)], "source string, n long").repartition(7).repartitionByRange(5, "n").sortWithinPartitions("n")
+    assert index.add(rows, batch="b", single_segment=True) == 200
+    docs = index.view().docs()
+    assert len(index.manifest().active()) == 1 and [r.f_n for r in docs.orderBy("doc_id").collect()] == list(range(200))
+    assert [r.doc_id for r in docs.orderBy("doc_id").collect()] == list(range(200)) and len(docs.inputFiles()) > 1
+    assert index.files.names("staging") == []
+    with pytest.raises(ValueError):
+        index.add(spark.createDataFrame([("{broken",)], "source string"), single_segment=True)
+    assert index.files.names("staging") == [] and len(index.files.names("docs")) == 1
