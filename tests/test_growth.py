@@ -152,3 +152,17 @@ def test_one_segment_keeps_the_order_over_tasks(spark, tmp_path):
     with pytest.raises(ValueError):
         index.add(spark.createDataFrame([("{broken",)], "source string"), single_segment=True)
     assert index.files.names("staging") == [] and len(index.files.names("docs")) == 1
+
+
+SEARCHES = ["match_single", "match_fold", "qs_json_request", "match_all_fields", "total_hits", "qs_implicit_and", "top_10", "bool_should", "match_multi", "term_frequency_ext", "phrase2", "multi_segment_search"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_a_search_reads_texts_once(spark, name):
+    assert analyses(ran(catalogue.queries()[name](spark, SF))) == 1
+
+
+@pytest.mark.parametrize("name", ["keyword_node", "keyword_match"])
+def test_a_keyword_search_reads_no_texts(spark, name):
+    lines = ran(catalogue.queries()[name](spark, SF))
+    assert analyses(lines) == 0 and not any("FileScan" in x and "text#" in x for x in lines)
