@@ -166,3 +166,17 @@ def test_a_search_reads_texts_once(spark, name):
 def test_a_keyword_search_reads_no_texts(spark, name):
     lines = ran(catalogue.queries()[name](spark, SF))
     assert analyses(lines) == 0 and not any("FileScan" in x and "text#" in x for x in lines)
+
+
+def test_small_segments_make_no_term_often(spark, monkeypatch):
+    """Terms are often by the documents of all segments, so that many small segments don't send all their terms to every task."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(compile, "OFTEN", 10)
+    docs = [(i, str(i % 20), i // 20, f"a w{i}") for i in range(100)]
+    view = TableView(spark.createDataFrame(docs, "id long, seg string, no long, text string"), IndexSchema.of(text="text"), "no", segment=F.col("seg"))
+    sent = []
+    monkeypatch.setattr(F, "broadcast", lambda df: (sent.append(df), df)[1])
+    rows = search(view, prefix("text", "")).matched.collect()
+    assert len(rows) == 100 and len({r.score for r in rows}) == 1
+    assert max(df.count() for df in sent if "known" in df.columns) == 0
